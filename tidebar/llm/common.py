@@ -115,3 +115,27 @@ def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns, whatever else the table has."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def sum_blobs(df: DataFrame, width: int) -> np.ndarray:
+    """Sum of a table of binary rows (column blob), each `width` doubles.
+
+    Partitions stream their rows into one vector each, about the square root of their number of tasks sums those,
+    and one task the rest, so no task ever holds more than one vector and a batch.
+    """
+
+    def total(batches):
+        acc = np.zeros(width)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                acc += np.frombuffer(blob, dtype=np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], type=pa.binary())], ["blob"])
+
+    sums = df.mapInArrow(total, "blob binary")
+    some = max(1, round(sums.rdd.getNumPartitions() ** 0.5))
+    if some > 1:
+        sums = sums.repartition(some).mapInArrow(total, "blob binary")
+    out = np.zeros(width)
+    for row in sums.collect():  # one vector of a fixed width a task
+        out += np.frombuffer(row["blob"], dtype=np.float64)
+    return out

@@ -7,19 +7,87 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mixing, packing, quality_classifier, quality_rules, secrets, token_counts, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, size=4096, end_id=2)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs, quality_rules.trusted_ids(labels))
+
+
+URL_RULES = [
+    url_filter.prefix_rule("allow", "org/"),
+    url_filter.prefix_rule("block", "example.org/es/"),
+    url_filter.prefix_rule("block", "example.org/en/1"),
+    url_filter.prefix_rule("allow", "com/fr/"),
+    url_filter.prefix_rule("block", "com/de/"),
+    # pattern rules: hosts and paths of link farms, gambling, counterfeit goods and trackers
+    url_filter.pattern_rule("block", r"(^|[./-])cheap-pills([./-]|$)", "cheap", "pills"),
+    url_filter.pattern_rule("block", r"(^|[./-])casino-win([./-]|$)", "casino", "win"),
+    url_filter.pattern_rule("block", r"(^|[./-])free-bets([./-]|$)", "free", "bets"),
+    url_filter.pattern_rule("block", r"(^|[./-])spam-farm([./-]|$)", "spam", "farm"),
+    url_filter.pattern_rule("block", r"(^|[./-])ads-track([./-]|$)", "ads", "track"),
+    url_filter.pattern_rule("block", r"(^|[./-])(online|best|mega)-casino([./-]|$)", "casino"),
+    url_filter.pattern_rule("block", r"(^|[./-])replica-watch(es)?([./-]|$)", "replica"),
+    url_filter.pattern_rule("block", r"(^|[./-])payday-loans?([./-]|$)", "payday"),
+]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP8_SQL = r"""
+WITH rules(action, name) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'),
+  ('allow', 'com/fr/'), ('block', 'com/de/')),
+patterns(regex) AS (VALUES ('(^|[./-])cheap-pills([./-]|$)'), ('(^|[./-])casino-win([./-]|$)'),
+  ('(^|[./-])free-bets([./-]|$)'), ('(^|[./-])spam-farm([./-]|$)'), ('(^|[./-])ads-track([./-]|$)'),
+  ('(^|[./-])(online|best|mega)-casino([./-]|$)'), ('(^|[./-])replica-watch(es)?([./-]|$)'),
+  ('(^|[./-])payday-loans?([./-]|$)')),
+urls AS (SELECT page_id,
+    coalesce(CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '') AS host,
+    coalesce(CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path
+  FROM pages),
+targets AS (SELECT DISTINCT host, path FROM urls),
+best AS (SELECT t.host, t.path, arg_max(r.name, length(r.name)) AS rule, arg_max(r.action, length(r.name)) AS action
+  FROM targets t JOIN rules r ON (t.host = split_part(r.name, '/', 1) OR ends_with(t.host, '.' || split_part(r.name, '/', 1)))
+    AND starts_with(t.path, substr(r.name, strpos(r.name, '/')))
+  GROUP BY ALL),
+bad AS (SELECT DISTINCT t.host, t.path FROM targets t JOIN patterns p ON regexp_matches(t.host || t.path, p.regex))
+SELECT u.page_id, u.host, u.path, b.rule,
+  coalesce(b.action, CASE WHEN x.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM urls u LEFT JOIN best b ON u.host = b.host AND u.path = b.path LEFT JOIN bad x ON u.host = x.host AND u.path = x.path
+"""
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_quality_classifier": op3_quality_classifier, "op5_quality_rules": op5_quality_rules, "op8_url_filters": op8_url_filters, "op9_secret_scans": op9_secret_scans, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": OP8_SQL}
