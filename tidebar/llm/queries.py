@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_classifier, quality_rules, secrets, token_counts, url_filter
+from . import mixing, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.trusted_ids(labels))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+win AS (SELECT doc_id, s, hash(array_to_string(w[s : s + 19], ' ')) AS h, hash('b' || array_to_string(w[s : s + 19], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS s FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY h, g ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM late, range(20) r(i)),
+cut AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE [x for x, i in w if NOT list_contains(ps, i)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 URL_RULES = [
     url_filter.prefix_rule("allow", "org/"),
     url_filter.prefix_rule("block", "example.org/es/"),
@@ -86,8 +103,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_quality_classifier": op3_quality_classifier, "op5_quality_rules": op5_quality_rules, "op8_url_filters": op8_url_filters, "op9_secret_scans": op9_secret_scans, "op10_token_counts": op10_token_counts}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_quality_classifier": op3_quality_classifier, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_url_filters": op8_url_filters, "op9_secret_scans": op9_secret_scans, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": OP8_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op8_url_filters": OP8_SQL}
