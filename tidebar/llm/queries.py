@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, url_filter
+from . import jaccard_join, mixing, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,25 @@ FROM d LEFT JOIN cut USING (doc_id)
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=75)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id,
+    [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r(a, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
 URL_RULES = [
     url_filter.prefix_rule("allow", "org/"),
     url_filter.prefix_rule("block", "example.org/es/"),
@@ -103,8 +122,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_quality_classifier": op3_quality_classifier, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_url_filters": op8_url_filters, "op9_secret_scans": op9_secret_scans, "op10_token_counts": op10_token_counts}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_quality_classifier": op3_quality_classifier, "op4_jaccard_join": op4_jaccard_join, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_url_filters": op8_url_filters, "op9_secret_scans": op9_secret_scans, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL, "op8_url_filters": OP8_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_url_filters": OP8_SQL}
