@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, url_filter
+from . import jaccard_join, mixing, neighbours, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,10 @@ FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 URL_RULES = [
     url_filter.prefix_rule("allow", "org/"),
     url_filter.prefix_rule("block", "example.org/es/"),
@@ -122,7 +126,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_quality_classifier": op3_quality_classifier, "op4_jaccard_join": op4_jaccard_join, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_url_filters": op8_url_filters, "op9_secret_scans": op9_secret_scans, "op10_token_counts": op10_token_counts}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_packing": op2_packing,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_jaccard_join": op4_jaccard_join,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op8_url_filters": op8_url_filters,
+        "op9_secret_scans": op9_secret_scans,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
