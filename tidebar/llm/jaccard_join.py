@@ -262,19 +262,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return docs.select("bid", "row", "text").join(wanted, ["bid", "row"]).select("node", "text").mapInArrow(run, "node long, items binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
-
-    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a set holds the distinct shingles of `shingle` words, or
-    of a shorter text its whole word sequence. Documents link when 100 * intersection >= percent * union;
-    component_id is the least doc_id reachable by links. A null or wordless text has an empty set, links with
-    nothing and keeps its own doc_id. A null doc_id counts as larger than all, and a component of null doc_ids only
-    has none. Repeated rows are equal sets; other columns are ignored; an empty table gives no rows.
-    """
+def _rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, bid, row, n_shingles, node, root of every row of a table in batches; node and root null for empty sets."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bits = max(6, (8 * partitions(docs.sparkSession) - 1).bit_length())
-    docs = in_batches(docs)
     nodes = keep(docs.mapInArrow(_nodes(shingle), NODE))
     levels = cost_levels(element_counts(docs, shingle))
     tokens = docs.select("text", "bid").mapInArrow(_give_out(shingle, levels, percent, bits), TOKENS)
@@ -303,6 +295,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     links = joined.unionByName(keep(_verify(more, sets, percent)))
     final = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
-    whole = nodes.select("doc_id", "n_shingles", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = nodes.select("doc_id", "bid", "row", "n_shingles", "node").join(final, "node", "left")
+    return whole.withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a set holds the distinct shingles of `shingle` words, or
+    of a shorter text its whole word sequence. Documents link when 100 * intersection >= percent * union;
+    component_id is the least doc_id reachable by links. A null or wordless text has an empty set, links with
+    nothing and keeps its own doc_id. A null doc_id counts as larger than all, and a component of null doc_ids only
+    has none. Repeated rows are equal sets; other columns are ignored; an empty table gives no rows.
+    """
+    whole = keep(_rooted(in_batches(docs), shingle, percent))
     least = whole.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """Rows of docs, all columns: of each component the row with the least doc_id (null last), and all empty ones."""
+    named = in_batches(docs, *docs.columns)
+    whole = keep(_rooted(named.select("doc_id", "text", "bid", "row"), shingle, percent).where("root is not null"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "bid", "row")
+    first = whole.groupBy("root").agg(F.min(order).alias("x")).select("root", F.col("x.bid").alias("b"), F.col("x.row").alias("r"))
+    gone = whole.join(first, "root").where("bid != b or row != r").select("bid", "row")
+    return named.join(gone, ["bid", "row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

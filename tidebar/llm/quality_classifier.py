@@ -156,6 +156,16 @@ def fit(examples: DataFrame, features: int = 256, bandwidth: float = 3.0, penalt
     return model
 
 
+def _held_out(folds: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def learn(stats: DataFrame, labels: DataFrame, folds: int) -> Model:
+    """Fit on the labelled rows of stats that aren't held out."""
+    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    return fit(keep(stats.where(~_held_out(folds)).join(marks, "doc_id").select("stats", "label")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
@@ -166,14 +176,26 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
     gives no rows.
     """
     stats = keep(document_statistics(docs))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    examples = keep(stats.where(~held_out).join(marks, "doc_id").select("stats", "label"))
-    model = fit(examples)
+    model = learn(stats, labels, folds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(_stacked(batch, "stats"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return stats.withColumn("held_out", held_out).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return stats.withColumn("held_out", _held_out(folds)).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
+    """Rows of docs, all columns, that classify() would predict as 1; judged where they are read, without a shuffle of texts."""
+    model = learn(document_statistics(docs), labels, folds)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            if batch.num_rows:
+                stats = np.array([statistics(t, hashes) for t in raw_texts(batch.column(place))])
+                yield batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -37,14 +37,15 @@ OUT = "kind int, bid long, bucket int, blob binary, doc_id long, row long, text
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def in_batches(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bid (of a batch of rows), row (of the row in its batch's file); docs not read from files are written first."""
+def in_batches(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns (doc_id and text unless named), bid (of a batch of rows), row (of the row in its batch's file); docs not read from files are written first."""
+    columns = columns or ("doc_id", "text")
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
-        docs = keep(only(docs, "doc_id", "text"))
+        docs = keep(only(docs, *columns))
     batch = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BATCH_ROWS))
-    return docs.select("doc_id", "text", batch.alias("bid"), F.col("_metadata.row_index").alias("row"))
+    return docs.select(*[F.col(f"`{c}`") for c in columns], batch.alias("bid"), F.col("_metadata.row_index").alias("row"))
 
 
 def by_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
