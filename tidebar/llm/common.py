@@ -105,7 +105,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(k, dtype=np.uint64)
     for i in range(n):
         out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + k]
-    return mix(out + np.uint64(n) * GOLD)
+    return mix(out + np.uint64((n * int(GOLD)) & MASK))
 
 
 def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -37,10 +37,14 @@ CELLS = 1 << 19
 BANDS = [4**k for k in range(16)]
 PARITY = 1024
 WORDS = PARITY // 64
-NODE = "doc_id long, bid long, row long, n_shingles long, node long, " + ", ".join(f"p{i} long" for i in range(WORDS))
+NODE = "doc_id long, bid long, row long, n_shingles long, node long, " + ", ".join(f"p{i} long" for i in range(WORDS)) + ", counts binary"
 TOKENS = "bid long, bucket int, blob binary"
 GROUPS = "gid long, node long"
 SLICE = 512
+#: Partners of a set that are verified in one task at a time.
+LOT = 256
+#: Up to so many wanted rows (three numbers each) are sent to all; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 200_000
 
 
 class Shingles:
@@ -62,39 +66,33 @@ def node_of(items: np.ndarray) -> int:
 
 
 def _nodes(shingle: int):
+    """A row for each document; behind them, for each partition, its part of the count sketch of the corpus.
+
+    The sketch says how many documents hold an element of each of CELLS hash cells.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingles(shingle)
+        sets, acc = Shingles(shingle), np.zeros(CELLS)
+        names = [c.split()[0] for c in NODE.split(", ")]
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 items = [sets(t) for t in raw_texts(batch.column("text"))]
                 size = np.array([len(x) for x in items], dtype=np.int64)
                 flat = np.concatenate(items)
+                acc += np.bincount((flat & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
                 cell = np.repeat(np.arange(len(items)), size) * PARITY + (flat & np.uint64(PARITY - 1)).astype(np.int64)
                 odd = (np.bincount(cell, minlength=len(items) * PARITY) & 1).astype(np.uint8).reshape(len(items), PARITY)
                 sketch = np.packbits(odd, axis=1).view(np.int64)
                 columns = [batch.column("doc_id"), batch.column("bid"), batch.column("row"), pa.array(size), pa.array([node_of(x) if len(x) else None for x in items], type=pa.int64())]
                 columns += [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(WORDS)]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in NODE.split(", ")])
+                columns.append(pa.nulls(len(items), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * (len(names) - 1) + [pa.array([acc.tobytes()], type=pa.binary())], names)
 
     return run
 
 
-def element_counts(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Sketch of the corpus: how many documents hold an element of each of CELLS hash cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, acc = Shingles(shingle), np.zeros(CELLS)
-        for batch in batches:
-            texts = raw_texts(batch.column("text"))
-            for at in range(0, len(texts), 256):
-                flat = np.concatenate([sets(t) for t in texts[at : at + 256]])
-                acc += np.bincount((flat & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], type=pa.binary())], ["blob"])
-
-    return sum_blobs(docs.select("text").mapInArrow(run, "blob binary"), CELLS)
-
-
 def cost_levels(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale, as small whole numbers."""
     return np.minimum(255, np.round(12 * np.log1p(counts))).astype(np.uint64)
@@ -220,10 +218,6 @@ def _group(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"gid": np.repeat(name, size)[pick], "node": node[pick]})
 
 
-def _linked(a: Column, b: Column, inter: Column, percent: int) -> Column:
-    return inter * 100 >= (a + b - inter) * percent
-
-
 def _plausible(x: str, y: str, percent: int) -> Column:
     """What a linked pair meets: sizes, and differing parity bits."""
     a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
@@ -232,22 +226,29 @@ def _plausible(x: str, y: str, percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (u, v) whose sets link. Sets travel packed and are compared a batch of pairs at a time."""
+    """Those of pairs (u, v) whose sets link, by exact counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.sort(np.concatenate([a, b]))
+    The sets of v go to u's; partners of a u come in lots of LOT at about the most, each with u's set beside it.
+    """
+
+    def run(held: pa.Table, come: pa.Table) -> pa.Table:
+        rows = []
+        for u, x in zip(held.column("u1").to_pylist(), held.column("items1").to_pylist()):
+            a = np.frombuffer(x, dtype=np.uint64)
+            for v, y in zip(come.column("v2").to_pylist(), come.column("items2").to_pylist()):
+                b = np.frombuffer(y, dtype=np.uint64)
+                both = np.sort(np.concatenate([a, b]), kind="stable")
                 inter = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inter >= percent * (len(a) + len(b) - inter))
-            keep_row = pa.array(good, type=pa.bool_())
-            yield batch.select(["u", "v"]).filter(keep_row)
+                if 100 * inter >= percent * (len(a) + len(b) - inter):
+                    rows.append((u, v))
+        return pa.Table.from_batches([_rows("u long, v long", rows)])
 
-    x = sets.select(F.col("node").alias("u"), F.col("items").alias("x"))
-    y = sets.select(F.col("node").alias("v"), F.col("items").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    lots = pairs.groupBy("u").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    come = pairs.join(lots, "u").select("u", "v", F.pmod(F.col("v"), F.col("lots")).cast("int").alias("lot"))
+    come = come.join(sets.select(F.col("node").alias("v"), "items"), "v")
+    held = lots.join(sets.select(F.col("node").alias("u"), "items"), "u").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    held, come = (df.select(*[F.col(c).alias(f"{c}{side}") for c in df.columns]) for df, side in ((held.select("u", "lot", "items"), 1), (come, 2)))
+    return held.groupBy("u1", "lot1").cogroup(come.groupBy("u2", "lot2")).applyInArrow(run, "u long, v long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -259,6 +260,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             items = [made(t).tobytes() for t in raw_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(items, type=pa.binary())], ["node", "items"])
 
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     return docs.select("bid", "row", "text").join(wanted, ["bid", "row"]).select("node", "text").mapInArrow(run, "node long, items binary")
 
 
@@ -267,32 +270,35 @@ def _rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bits = max(6, (8 * partitions(docs.sparkSession) - 1).bit_length())
-    nodes = keep(docs.mapInArrow(_nodes(shingle), NODE))
-    levels = cost_levels(element_counts(docs, shingle))
+    made = keep(docs.mapInArrow(_nodes(shingle), NODE))
+    levels = cost_levels(sum_blobs(made.where("counts is not null").select("counts"), CELLS))
+    nodes = made.where("counts is null").drop("counts")
     tokens = docs.select("text", "bid").mapInArrow(_give_out(shingle, levels, percent, bits), TOKENS)
     groups = keep(tokens.groupBy("bucket").applyInArrow(_group, GROUPS).distinct())
 
     # One document stands for each node that has a partner at all.
     sketch = [f"p{i}" for i in range(WORDS)]
     partnered = groups.select("node").distinct()
-    stands = keep(
-        nodes.where("node is not null").groupBy("node")
-        .agg(F.min(F.struct("bid", "row", "n_shingles", *sketch)).alias("x")).select("node", "x.*").join(partnered, "node", "left_semi")
-    )
-    sets = keep(_sets_of(docs, stands.select("node", "bid", "row"), shingle))
+    stands = nodes.where("node is not null").join(partnered, "node", "left_semi").groupBy("node")
+    stands = keep(stands.agg(F.min(F.struct("bid", "row", "n_shingles", *sketch)).alias("x")).select("node", "x.*"))
+    x, y = stands.alias("x"), stands.alias("y")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = keep(pairs)
+        wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(stands.select("node", "bid", "row"), "node"))
+        return keep(_verify(pairs, keep(_sets_of(docs, wanted, shingle)), percent))
 
     heads = groups.groupBy("gid").agg(F.min("node").alias("u"))
-    star = groups.join(heads, "gid").where("node != u").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
-    first = keep(_verify(star, sets, percent))
-    joined = components(first)
+    star = groups.join(heads, "gid").where("node != u").select("u", F.col("node").alias("v")).distinct()
+    star = star.join(x, F.col("u") == F.col("x.node")).join(y, F.col("v") == F.col("y.node")).where(_plausible("x", "y", percent))
+    joined = components(verified(star.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")))
 
     named = groups.join(joined.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gid")
     open_ = keep(named.join(mixed, "gid").join(stands.drop("bid", "row"), "node"))
     x, y = open_.alias("x"), open_.alias("y")
     more = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _plausible("x", "y", percent))
-    more = more.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    links = joined.unionByName(keep(_verify(more, sets, percent)))
+    links = joined.unionByName(verified(more.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()))
     final = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
     whole = nodes.select("doc_id", "bid", "row", "n_shingles", "node").join(final, "node", "left")
