@@ -33,7 +33,8 @@ LAST = np.iinfo(np.int64).max
 
 PROBE = "bid long, bucket int, blob binary"
 HIT = "bid long, blob binary"
-OUT = "kind int, bid long, bucket int, blob binary, doc_id long, row long, text string, n_words long, n_removed long, kept_sha256 string"
+PACKED = "bid long, docs binary"
+OUT = "kind int, bid long, bucket int, blob binary, doc_id long, n_words long, n_removed long, kept_sha256 string"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -126,96 +127,118 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _order_key(doc_id: pa.Array) -> np.ndarray:
-    return doc_id.fill_null(LAST).to_numpy(zero_copy_only=False)
+def pack_rows(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(blobs: list[bytes]) -> list[tuple[int | None, int, bytes]]:
+    """(doc_id, order, text) of a batch's documents, ordered by doc_id (null last), then row; order is that of the ids."""
+    out = []
+    for blob in blobs:
+        t = pa.ipc.open_stream(blob).read_all()
+        out += zip(t.column("doc_id").to_pylist(), t.column("row").to_pylist(), t.column("text").to_pylist())
+    out.sort(key=lambda x: (LAST if x[0] is None else x[0], x[1]))
+    return [(doc, LAST if doc is None else doc, text or b"") for doc, _, text in out]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's documents as one compressed row."""
+    for whole in batches:
+        for bid, part in by_batch(whole):
+            rows = pa.table({"doc_id": part.column("doc_id"), "row": part.column("row"), "text": part.column("text").cast(pa.binary())})
+            yield _rows(PACKED, [(bid, pack_rows(rows))])
 
 
 def _windows(window: int, block: int, bits: int):
-    """Documents without an anchor are done; the others stay, and their windows around anchors go out."""
+    """Documents without repeats are done; of the others the batch stays, and its distinct windows go out.
 
-    def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
+    A window that is repeated has all grid blocks in it among the anchors hit, and any block of the other's grid.
+    """
+
+    def run(packed: pa.Table, hits: pa.Table) -> pa.Table:
         hashes = WordHashes()
         anchors = np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in hits.column("blob").to_pylist()] or [np.empty(0, np.uint64)]))
         rows: list[tuple] = []
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        bid = docs.column("bid")[0].as_py() if docs.num_rows else None
-        texts = [x or b"" for x in docs.column("text").cast(pa.binary()).to_pylist()]
-        ids, numbers = docs.column("doc_id").to_pylist(), docs.column("row").to_pylist()
-        keys = _order_key(docs.column("doc_id").combine_chunks()) if docs.num_rows else []
-        for doc, row, key, text in zip(ids, numbers, keys, texts):
+        left: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        bid = packed.column("bid")[0].as_py() if packed.num_rows else None
+        for doc, key, text in unpack_rows(packed.column("docs").to_pylist()):
             words = text.split()
             h = hashes.of(words)
-            g, w = grams(h, block), grams(h, window)
+            w = grams(h, window)
             at = np.empty(0, np.int64)
             if len(w) and len(anchors):
+                g = grams(h, block)
                 code = (g >> np.uint64(64 - bits)) << np.uint64(32) | (g << np.uint64(bits)) >> np.uint64(34)
                 place = np.searchsorted(anchors, code)
                 place[place == len(anchors)] = 0
-                hit = np.concatenate(([0], np.cumsum(anchors[place] == code)))
-                starts = np.arange(len(w))
-                at = np.flatnonzero(hit[starts + window - block + 1] > hit[starts])
+                hit = anchors[place] == code
+                own = -(-np.arange(len(w)) // block) * block  # the first grid block in each window, and the last
+                at = np.flatnonzero(hit[own] & hit[(np.arange(len(w)) + window - block) // block * block])
             if len(at):
-                found.append((w[at], np.full(len(at), key), np.full(len(at), row), at))
-                rows.append((1, bid, None, None, doc, row, text.decode(), None, None, None))
+                found.append((w[at], np.full(len(at), key)))
+                left.append((doc, len(left), text))
             else:
-                rows.append((0, None, None, None, doc, row, None, len(words), 0, _sha(words)))
+                rows.append((0, None, None, None, doc, len(words), 0, _sha(words)))
         if found:
-            h, doc, row, at = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((at, row, doc, h))
-            h, doc, row, at = h[order], doc[order], row[order], at[order]
+            h, doc = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            many = np.diff(np.append(first, len(h))) > 1
-            h, table = h[first], np.stack([h[first].view(np.int64), doc[first], row[first], at[first], many.astype(np.int64)])
-            rows += [(2, bid, k, np.ascontiguousarray(table[:, a:b]).tobytes(), None, None, None, None, None, None) for k, a, b in split_by_top_bits(h, bits)]
+            h, doc = h[first], doc[first]
+            rows += [(2, bid, k, h[a:b].tobytes() + doc[a:b].tobytes(), None, None, None, None) for k, a, b in split_by_top_bits(h, bits)]
+            rows.append((1, bid, None, pack_rows(pa.table(dict(zip(("doc_id", "row", "text"), map(pa.array, zip(*left)))))), None, None, None, None))
         return pa.Table.from_batches([_rows(OUT, rows)])
 
     return run
 
 
 def _answer_windows(key: tuple, table: pa.Table) -> pa.Table:
-    """To each batch those of its windows that occur again, and where each starts first."""
-    parts = [np.frombuffer(b, dtype=np.int64).reshape(5, -1) for b in table.column("blob").to_pylist()]
-    whole = np.concatenate(parts, axis=1)
-    batch = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
-    bids = np.array(table.column("bid").to_pylist(), dtype=np.int64)
-    order = np.lexsort((bids[batch], whole[3], whole[2], whole[1], whole[0]))
-    whole, batch = whole[:, order], batch[order]
-    first = np.flatnonzero(np.concatenate(([True], whole[0, 1:] != whole[0, :-1])))
-    size = np.diff(np.append(first, whole.shape[1]))
-    again = np.repeat((size > 1) | (np.maximum.reduceat(whole[4], first) > 0), size)
-    head = np.repeat(first, size)
-    answer = np.stack([whole[0], whole[1, head], whole[2, head], whole[3, head], bids[batch[head]]])[:, again]
-    batch = batch[again]
-    rows = []
-    for k in np.unique(batch):
-        rows.append((int(bids[k]), np.ascontiguousarray(answer[:, batch == k]).tobytes()))
-    return pa.Table.from_batches([_rows(HIT, rows)])
+    """To each batch those of its windows that start earlier in another one. Equal doc_ids go by batch."""
+    blobs, bids = table.column("blob").to_pylist(), np.array(table.column("bid").to_pylist(), dtype=np.int64)
+    sizes = [len(b) // 16 for b in blobs]
+    h = np.concatenate([np.frombuffer(b, dtype=np.uint64, count=n) for b, n in zip(blobs, sizes)])
+    doc = np.concatenate([np.frombuffer(b, dtype=np.int64, offset=8 * n) for b, n in zip(blobs, sizes)])
+    batch = np.repeat(np.arange(len(blobs)), sizes)
+    order = np.lexsort((bids[batch], doc, h))
+    h, batch = h[order], batch[order]
+    late = np.concatenate(([False], h[1:] == h[:-1]))
+    h, batch = h[late], batch[late]
+    order = np.argsort(batch, kind="stable")
+    h, batch = h[order], batch[order]
+    cuts = np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1], [True]))) if len(h) else []
+    return pa.Table.from_batches([_rows(HIT, [(int(bids[batch[a]]), h[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])])])
 
 
 def _cut(window: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Words under a window that starts earlier: in another batch, as told, or before in this one."""
+
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         hashes = WordHashes()
-        known = np.concatenate([np.frombuffer(b, dtype=np.int64).reshape(5, -1) for b in answers.column("blob").to_pylist()] or [np.empty((5, 0), np.int64)], axis=1)
-        known = known[:, np.argsort(known[0].view(np.uint64))]
-        seen = known[0].view(np.uint64)
-        rows = []
-        bids, numbers, ids = docs.column("bid").to_pylist(), docs.column("row").to_pylist(), docs.column("doc_id").to_pylist()
-        keys = _order_key(docs.column("doc_id").combine_chunks()) if docs.num_rows else []
-        for bid, doc, row, key, text in zip(bids, ids, numbers, keys, docs.column("text").cast(pa.binary()).to_pylist()):
-            words = text.split()
-            w = grams(hashes.of(words), window)
+        late = np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in answers.column("blob").to_pylist()] or [np.empty(0, np.uint64)]))
+        docs = [(doc, text.split()) for doc, _, text in unpack_rows(packed.column("blob").to_pylist())]
+        per = [grams(hashes.of(words), window) for _, words in docs]
+        w = np.concatenate(per) if per else np.empty(0, np.uint64)
+        _, first = np.unique(w, return_index=True)
+        repeated = np.ones(len(w), dtype=bool)
+        repeated[first] = False
+        if len(late):
+            place = np.searchsorted(late, w)
+            place[place == len(late)] = 0
+            repeated |= late[place] == w
+        rows, at = [], 0
+        for (doc, words), mine in zip(docs, per):
+            starts = np.flatnonzero(repeated[at : at + len(mine)])
+            at += len(mine)
             kept = words
-            if len(seen) and len(w):
-                place = np.searchsorted(seen, w)
-                place[place == len(seen)] = 0
-                at = np.arange(len(w))
-                own = (known[1, place] == key) & (known[2, place] == row) & (known[3, place] == at) & (known[4, place] == bid)
-                starts = np.flatnonzero((seen[place] == w) & ~own)
+            if len(starts):
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + window, -1)
-                keep_word = np.cumsum(edge)[:-1] == 0
-                kept = [x for x, k in zip(words, keep_word.tolist()) if k]
+                kept = [x for x, k in zip(words, (np.cumsum(edge)[:-1] == 0).tolist()) if k]
             rows.append((doc, len(words), len(words) - len(kept), _sha(kept)))
         return pa.Table.from_batches([_rows(RESULT, rows)])
 
@@ -226,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """Remove each word under a `window`-word window whose words also start earlier.
 
     Words are `[^\\x20\\x09-\\x0D]+`. Earlier is a smaller doc_id, or the same document and an earlier start; rows with
-    the same doc_id go by row number, a null doc_id comes last. Returns doc_id, n_words, n_removed and kept_sha256
+    the same doc_id go by batch and row number, a null doc_id comes last. Returns doc_id, n_words, n_removed and kept_sha256
     of the kept words joined by a space. A null text has no words; texts shorter than a window lose nothing; other
     columns are ignored; an empty table gives no rows.
     """
@@ -237,9 +260,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     docs = in_batches(docs)
     probes = docs.select("text", "bid").mapInArrow(_probes(block, bits), PROBE)
     hits = keep(probes.groupBy("bucket").applyInArrow(_answer_probes, HIT))
-    split = keep(docs.groupBy("bid").cogroup(hits.groupBy("bid")).applyInArrow(_windows(window, block, bits), OUT))
+    packed = docs.mapInArrow(_packed, PACKED)
+    split = keep(packed.groupBy("bid").cogroup(hits.groupBy("bid")).applyInArrow(_windows(window, block, bits), OUT))
     answers = split.where("kind = 2").select("bid", "bucket", "blob").groupBy("bucket").applyInArrow(_answer_windows, HIT)
-    left = split.where("kind = 1").select("bid", "doc_id", "row", "text")
+    left = split.where("kind = 1").select("bid", "blob")
     cut = left.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(_cut(window), RESULT)
     done = split.where("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256")
     return done.unionByName(cut)
