@@ -10,10 +10,8 @@ the pieces of their length. Work on the driver depends on `size` alone.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,76 +27,119 @@ PIECE_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")
 SALTS = 256
 
 
+class Remembered(dict):
+    """A dict of two generations: when the young one is full it becomes the old one, and what is asked for comes back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordTokenizer:
     """ids of whole texts by `tokenizers`, each distinct word encoded once while it is remembered.
 
-    Valid for a tokenizer whose pre-tokenizer drops white space and never joins what white space separates, and
-    whose words end in ids with the end-of-word suffix. Words of Latin letters, with at most one full stop or
-    comma behind them, are encoded many at a time; every other stretch between spaces is encoded by itself.
+    Valid for a tokenizer that lower-cases, whose pre-tokenizer drops white space and never joins what white space
+    separates, and whose words end in ids with the end-of-word suffix. In texts of Latin-1 letters, words with at
+    most one full stop or comma behind them are encoded many at a time; every other stretch between spaces, and
+    every stretch of other texts, is encoded by itself.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
-        self.limit = limit
-        self.marks = {m: self._each([m])[0] for m in (".", ",")} | {"": b""}
+        self.words, self.letters = Remembered(limit), Remembered(3 * limit // 2)
+        self.marks = {m: self._each([m])[0] for m in (".", ",")}
 
     def _each(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > self.limit:
-            self.words = {"": b""}
-        if len(self.letters) > self.limit:
-            self.letters = {}
-        plain, other = {}, []
-        for w in new:
-            m = self.PLAIN.fullmatch(w) if len(w) < 100 else None
-            if m:
-                plain[w] = (m[1].lower(), m[2])
+    def _learn(self, plain: set[str], other: set[str]) -> dict[str, bytes]:
+        """ids of words; those of plain are of Latin-1 texts in lower case."""
+        out: dict[str, bytes] = {"": b""}
+        split, missing, marks = [], set(), self.marks
+        old_words, letters, old_letters = self.words.old.get, self.letters, self.letters.old.get
+        for w in plain:
+            known = old_words(w)
+            if known is not None:
+                out[w] = known
+                continue
+            mark = w[-1:]
+            if mark in marks:
+                core = w[:-1]
             else:
-                other.append(w)
-        missing = list({p for p, _ in plain.values()} - self.letters.keys())
-        for i in range(0, len(missing), 2000):
-            part = missing[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+                core, mark = w, ""
+            if core.isalpha() and len(core) < 100:
+                split.append((w, core, mark))
+                if core not in letters:
+                    known = old_letters(core)
+                    if known is None:
+                        missing.add(core)
+                    else:
+                        letters[core] = known
+            elif w:
+                other.add(w)
+        found = {}
+        parts = list(missing)
+        for i in range(0, len(parts), 1000):
+            part = parts[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer doesn't end each word with its suffix")
             raw, at = ids.tobytes(), 0
             for word, end in zip(part, (cuts * 4).tolist()):
-                self.letters[word] = raw[at:end]
+                found[word] = raw[at:end]
                 at = end
-        for w, (p, mark) in plain.items():
-            self.words[w] = self.letters[p] + self.marks[mark]
-        for i in range(0, len(other), 1000):
-            part = other[i : i + 1000]
-            self.words.update(zip(part, self._each(part)))
+        for w, core, mark in split:
+            ids = found.get(core) or letters[core]
+            out[w] = ids + marks[mark] if mark else ids
+        rest = [w for w in other if w not in out]
+        for i in range(0, len(rest), 1000):
+            out.update(zip(rest[i : i + 1000], self._each(rest[i : i + 1000])))
+        self.letters.turn()
+        self.letters.update(found)
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split))
-        new -= self.words.keys()
-        if "" not in self.words or new:
-            held = self.words
-            self._learn(new)
-            if self.words is not held:  # forgotten: learn all of this batch again
-                again = set(chain.from_iterable(split)) - self.words.keys()
-                if again:
-                    self.limit, limit = 1 << 60, self.limit
-                    self._learn(again)
-                    self.limit = limit
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        plain: set[str] = set()
+        other: set[str] = set()
+        rows, open_rows = [], []
+        get = self.words.get
+        for text in texts:
+            new = other
+            if "<|" not in text:  # not to turn anything into a special token
+                try:
+                    text.encode("latin-1")
+                    text, new = text.lower(), plain
+                except UnicodeEncodeError:
+                    pass
+            words = text.replace("\n", " ").split(" ")
+            out = list(map(get, words))
+            if None in out:
+                gaps = [i for i, x in enumerate(out) if x is None]
+                new.update([words[i] for i in gaps])
+                open_rows.append((out, words, gaps))
+            rows.append(out)
+        if open_rows:
+            found = self._learn(plain, other)
+            for out, words, gaps in open_rows:
+                for i in gaps:
+                    out[i] = found[words[i]]
+            self.words.turn()
+            for w in [w for w in other if len(w) >= 100]:  # used once, not remembered
+                del found[w]
+            self.words.update(found)
+        return [b"".join(out) for out in rows]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
