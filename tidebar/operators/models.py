@@ -1,0 +1,81 @@
+"""Two-stage models behind plain functions; the learners are those of Spark's own library.
+
+Stage 1 predicts the class of a bar from its features, stage 2 whether stage 1 is right. Any learner with the same
+columns in and out can take their place: no deep-learning or boosting library is assumed, and probabilities of
+different learners differ.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.frames import KEY
+from .evaluate import PROBS, argmax
+from .prepare import fit_scaler, scale, time_folds
+
+SEED = 42
+
+
+def train_primary(train: DataFrame, names: list[str], cls: str = "y", hidden: tuple[int, ...] = (32,), iterations: int = 60) -> PipelineModel:
+    """A multilayer perceptron over the features of a bar, with classes 0, 1, 2."""
+    parts = [
+        VectorAssembler(inputCols=names, outputCol="_in", handleInvalid="error"),
+        MultilayerPerceptronClassifier(featuresCol="_in", labelCol=cls, layers=[len(names), *hidden, 3], maxIter=iterations, seed=SEED, probabilityCol="_probs", rawPredictionCol="_raw", predictionCol="_pred"),
+    ]
+    return Pipeline(stages=parts).fit(train)
+
+
+def predict_primary(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """df with p_short, p_flat, p_long and pred."""
+    p = vector_to_array("_probs")
+    out = model.transform(df).withColumns({n: p[i] for i, n in enumerate(PROBS)})
+    return out.withColumn("pred", argmax(*PROBS)).drop("_in", "_raw", "_probs", "_pred")
+
+
+def out_of_fold(train: DataFrame, names: list[str], folds: int = 5, warm_up: int = 59) -> DataFrame:
+    """series_id, seq, probabilities and pred of the rows that some fold tests, but its first `warm_up`.
+
+    In each fold a scaler and a model are fitted on what comes before the fold's test rows.
+    """
+    held = time_folds(train, folds).persist()
+    out = None
+    for fold in range(1, folds + 1):
+        rows = held.where(F.col("fold") == fold)
+        before = rows.where("role = 'train'")
+        params = fit_scaler(before, names)
+        model = train_primary(scale(before, params, names), names)
+        tested = scale(rows.where(f"role = 'test' and seq_in_fold >= {warm_up}"), params, names)
+        got = predict_primary(model, tested).select(KEY, "seq", *PROBS, "pred")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _vector(df: DataFrame, names: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=names, outputCol="_in", handleInvalid="error").transform(df)
+
+
+def train_meta(train: DataFrame, val: DataFrame, names: list[str], trees: int = 40, depth: int = 5, step: float = 0.1) -> GBTClassificationModel:
+    """Boosted trees with balanced classes, stopped early by the validation rows."""
+    rate = train.agg(F.avg(F.col("y_meta").cast("double"))).first()[0] or 0.5
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    weight = F.when(F.col("y_meta") == 1, 0.5 / rate).otherwise(0.5 / (1 - rate))
+    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True))).withColumn("_w", weight).withColumn("_y", F.col("y_meta").cast("double"))
+    learner = GBTClassifier(featuresCol="_in", labelCol="_y", weightCol="_w", validationIndicatorCol="_val", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.7", seed=SEED)
+    return learner.fit(_vector(both, names))
+
+
+def predict_meta(model: GBTClassificationModel, df: DataFrame, names: list[str]) -> DataFrame:
+    """df with meta_prob, the probability that stage 1 is right."""
+    out = model.transform(_vector(df, names))
+    return out.withColumn("meta_prob", vector_to_array("probability")[1]).drop("_in", "rawPrediction", "probability", "prediction")
+
+
+def importance(model: GBTClassificationModel, names: list[str], n: int = 20) -> list[tuple[str, float]]:
+    """The n features with the largest importance."""
+    pairs = zip(names, model.featureImportances.toArray().tolist())
+    return sorted(pairs, key=lambda x: (-x[1], x[0]))[:n]

@@ -97,7 +97,7 @@ def time_bars(events: DataFrame, length: str = "1 hour", series: str | None = No
 def order_line_bars(lineitem: DataFrame) -> DataFrame:
     """Daily bars of unit prices by ship date, one series; volume is the quantity."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    at = F.struct("l_orderkey", "l_linenumber")
+    at = F.struct(F.col("l_orderkey"), F.col("l_linenumber"), unit)
     bars = lineitem.groupBy(F.col("l_shipdate").cast("timestamp").alias("ts")).agg(
         F.min_by(unit, at).alias("open"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.max_by(unit, at).alias("close"), F.sum("l_quantity").cast("double").alias("volume")
     )
