@@ -14,7 +14,8 @@ set also signs in the band below when partners can be there. Costs only order to
 Candidates. Tokens go, packed, to hash buckets; sets that share one form a group, and groups of equal members are
 one group. First each set is verified against the least member of its groups; what these links join needs no
 more work. Then, within groups that hold several components, pairs of different components are verified, if sizes and
-a parity sketch (whose differing bits are at most the differing elements) allow. Verification counts exactly.
+parity sketches (whose differing bits are at most the differing elements) allow: first the likeliest pair of each two
+components, in the end all that are still apart. Verification counts exactly.
 
 Equal sets are one node throughout, so copies are never expanded into pairs.
 """
@@ -37,6 +38,7 @@ CELLS = 1 << 19
 BANDS = [4**k for k in range(16)]
 PARITY = 1024
 WORDS = PARITY // 64
+WIDE = 8192
 NODE = "doc_id long, bid long, row long, n_shingles long, node long, " + ", ".join(f"p{i} long" for i in range(WORDS)) + ", counts binary"
 TOKENS = "bid long, bucket int, blob binary"
 GROUPS = "gid long, node long"
@@ -251,18 +253,43 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("u1", "lot1").cogroup(come.groupBy("u2", "lot2")).applyInArrow(run, "u long, v long")
 
 
+def _screen(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs without those whose wide sketches differ in more bits than linked sets have different elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, size in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("size").to_pylist()):
+                bits = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+                good.append(bits * (100 + percent) <= size * (100 - percent))
+            yield batch.select(["u", "v", "times"]).filter(pa.array(good, type=pa.bool_()))
+
+    x = sets.select(F.col("node").alias("u"), F.col("n").alias("n1"), F.col("wide").alias("x"))
+    y = sets.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("wide").alias("y"))
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", "times", "x", "y", (F.col("n1") + F.col("n2")).alias("size"))
+    return both.mapInArrow(run, "u long, v long, times long")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node and items (packed) of one document of each wanted node (node, bid, row)."""
+    """node, n, wide (a parity sketch of WIDE bits) and items (packed) of one document of each wanted node (node, bid, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Shingles(shingle)
         for batch in batches:
-            items = [made(t).tobytes() for t in raw_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(items, type=pa.binary())], ["node", "items"])
+            items = [made(t) for t in raw_texts(batch.column("text"))]
+            wide = [np.packbits(np.bincount((x & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).tobytes() for x in items]
+            columns = [batch.column("node"), pa.array([len(x) for x in items], type=pa.int64()), pa.array(wide, type=pa.binary()), pa.array([x.tobytes() for x in items], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "wide", "items"])
 
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    return docs.select("bid", "row", "text").join(wanted, ["bid", "row"]).select("node", "text").mapInArrow(run, "node long, items binary")
+    return docs.select("bid", "row", "text").join(wanted, ["bid", "row"]).select("node", "text").mapInArrow(run, "node long, n long, wide binary, items binary")
+
+
+def _with_root(df: DataFrame, node: str, root: str, joined: DataFrame) -> DataFrame:
+    """df with the component of column `node`, itself if it is alone."""
+    named = joined.select(F.col("u").alias(f"_{root}"), F.col("v").alias(root))
+    return df.join(named, F.col(node) == F.col(f"_{root}"), "left").drop(f"_{root}").withColumn(root, F.coalesce(root, node))
 
 
 def _rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -283,23 +310,43 @@ def _rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     stands = keep(stands.agg(F.min(F.struct("bid", "row", "n_shingles", *sketch)).alias("x")).select("node", "x.*"))
     x, y = stands.alias("x"), stands.alias("y")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs)
+    def sets_for(pairs: DataFrame) -> DataFrame:
         wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(stands.select("node", "bid", "row"), "node"))
-        return keep(_verify(pairs, keep(_sets_of(docs, wanted, shingle)), percent))
+        return keep(_sets_of(docs, wanted, shingle))
 
+    # Each node against the head that most of its groups have.
     heads = groups.groupBy("gid").agg(F.min("node").alias("u"))
-    star = groups.join(heads, "gid").where("node != u").select("u", F.col("node").alias("v")).distinct()
+    star = groups.join(heads, "gid").where("node != u").groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("times"))
     star = star.join(x, F.col("u") == F.col("x.node")).join(y, F.col("v") == F.col("y.node")).where(_plausible("x", "y", percent))
-    joined = components(verified(star.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")))
-
-    named = groups.join(joined.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gid")
-    open_ = keep(named.join(mixed, "gid").join(stands.drop("bid", "row"), "node"))
+    star = keep(star.select("u", "v", "times"))
+    sets = sets_for(star)
+    star = keep(_screen(star, sets, percent).groupBy("v").agg(F.max_by("u", F.struct("times", -F.col("u"))).alias("u")).select("u", "v"))
+    links = keep(_verify(star, sets, percent))
+    joined = components(links)
+
+    # Pairs of different components that share a group.
+    mixed = _with_root(groups, "node", "root", joined)
+    several = mixed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gid")
+    open_ = keep(mixed.join(several, "gid").join(stands.drop("bid", "row"), "node"))
     x, y = open_.alias("x"), open_.alias("y")
-    more = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _plausible("x", "y", percent))
-    links = joined.unionByName(verified(more.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()))
-    final = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    apart = (F.col("x.gid") == F.col("y.gid")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    left = x.join(y, apart & _plausible("x", "y", percent)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    left = keep(left.groupBy("u", "v").agg(F.count("*").alias("times")))
+    sets = sets_for(left)
+    left = keep(_screen(left, sets, percent))
+    for last in (False, False, True):
+        # First the likeliest pair of each two components; then all that are still apart.
+        rooted = _with_root(_with_root(left, "u", "a", joined), "v", "b", joined).where("a != b")
+        if not last:
+            one = F.max_by(F.struct("u", "v"), F.struct("times", "u", "v")).alias("x")
+            rooted = rooted.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(one).select("x.*")
+        tried = keep(rooted.select("u", "v"))
+        if not tried.count():
+            continue
+        links = links.unionByName(keep(_verify(tried, sets, percent)))
+        joined = components(links)
+        left = left.join(tried, ["u", "v"], "left_anti")
+    final = joined.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
     whole = nodes.select("doc_id", "bid", "row", "n_shingles", "node").join(final, "node", "left")
     return whole.withColumn("root", F.coalesce("root", "node"))
