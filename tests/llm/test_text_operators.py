@@ -1,0 +1,319 @@
+"""Operators on documents against plain Python, on a corpus of odd cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tidebar.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts
+from tidebar.llm.queries import RANKS, TOKENIZER
+
+from .conftest import corpus
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def key(row):
+    return tuple((x is not None, x) for x in row)
+
+
+# ---- mixing
+
+
+def targets(total_by_source, share=1.5, most=2.0):
+    names = sorted((s for s in total_by_source if s is not None)) + ([None] if None in total_by_source else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, out, open_ = share * sum(total_by_source.values()), {}, set(names)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > most * total_by_source[s]}
+        if not over:
+            return out | {s: level * weight[s] for s in open_}
+        for s in over:
+            out[s] = most * total_by_source[s]
+            left -= out[s]
+        open_ -= over
+
+
+def test_mixing(spark, docs, no_docs):
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == len(corpus())
+    sizes = defaultdict(int)
+    for _, text, source in corpus():
+        sizes[source] += len(words(text))
+    want, got, largest = targets(sizes), defaultdict(int), defaultdict(int)
+    for r in plan:
+        assert r["taken"] == r["copies"] * r["size"] and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        got[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for s in want:
+        assert abs(got[s] - want[s]) <= max(1, largest[s])
+    assert sorted(map(tuple, mixing.mix_plan(docs.repartition(7)).collect()), key=key) == sorted(map(tuple, plan), key=key)
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == docs.columns
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({d: n for d, n in ((i, sum(r["copies"] for r in plan if r["doc_id"] == i)) for i in {r["doc_id"] for r in plan}) if n})
+    assert mixing.mix_plan(no_docs).count() == 0 and mixing.mix_sources(no_docs).count() == 0
+
+
+# ---- packing
+
+
+def test_packing(docs, no_docs):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    got = packing.pack(docs, TOKENIZER, size=64).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc, text in {d: t for d, t, _ in corpus() if d is not None}.items():
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
+        copies = sum(d == doc for d, _, _ in corpus())
+        want = sorted((s, len(ids[s : s + 64]), zlib.crc32(ids[s : s + 64].tobytes()), len(ids)) for s in range(0, len(ids), 64)) * copies
+        assert sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in by_doc[doc]) == sorted(want)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack(no_docs, TOKENIZER).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 50), min_size=1))
+def test_patterns_hold_every_piece_once(histogram):
+    placed = Counter()
+    for count, pattern in packing.shortest_pack_first(histogram, 40):
+        assert count > 0 and sum(n * each for n, each in pattern.items()) <= 40
+        for n, each in pattern.items():
+            placed[n] += count * each
+    assert placed == Counter(histogram)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abCD é.,'’<|>\n\t1#ßİ́", max_size=30), max_size=8))
+def test_word_tokenizer_equals_the_tokenizer(texts):
+    own = test_word_tokenizer_equals_the_tokenizer.__dict__.setdefault("own", packing.WordTokenizer(TOKENIZER, limit=20))
+    assert own.ids(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+# ---- quality
+
+
+def test_base_rules_and_verdicts(spark, docs, no_docs):
+    got = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(docs, [1, 2, 7, 15]).collect()}
+    for doc, text, _ in corpus():
+        text = text or ""
+        w = words(text)
+        lines = [x for x in text.split("\n") if words(x)]
+        covered, seen = set(), defaultdict(list)
+        for i in range(len(w) - 7):
+            seen[tuple(w[i : i + 8])].append(i)
+        for at in seen.values():
+            if len(at) > 1:
+                covered |= {i + k for i in at for k in range(8)}
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        r = got[(doc, len(w))]
+        assert (r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed)
+        assert not (failed and r["kept"])
+    assert quality_rules.judge(no_docs, []).count() == 0
+    assert all(r["kept"] != r["base_failed"] for r in quality_rules.judge(docs, []).collect())  # without trusted texts
+
+
+def test_log_ratio_rejects_what_trusted_texts_lack(spark):
+    good = [(i, f"plain words of document {i} go on and on about nothing much " * 4 + str(i)) for i in range(40)]
+    bad = [(100 + i, f"BUY!! NOW!! CHEAP!! {i} $$$ " * 3 + " ".join(f"Z{i}Q{k}!!" for k in range(30))) for i in range(20)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string")
+    got = {r["doc_id"]: r["llr"] for r in quality_rules.judge(df, list(range(20))).collect()}
+    assert max(got[i] for i, _ in bad) < -0.35 < min(got[i] for i, _ in good)
+
+
+def test_classifier_learns_and_holds_out(spark, no_docs):
+    rng = np.random.default_rng(1)
+    texts = [(i, " ".join(f"w{rng.integers(500)}" for _ in range(rng.integers(30, 90)))) if i % 3 else (i, "BAD!! BAD!! " * int(rng.integers(5, 40))) for i in range(300)]
+    df = spark.createDataFrame([*texts, (1000, None), (1001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_classifier.classify(df, labels).collect()}
+    assert len(got) == 302 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (i in held) for i in range(300))
+    assert np.mean([got[i]["predicted"] == int(i % 3 > 0) for i in held]) > 0.95
+    flipped = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - quality else quality end as quality")
+    assert {r["doc_id"]: r["score"] for r in quality_classifier.classify(df, flipped).collect()} == pytest.approx({i: r["score"] for i, r in got.items()})
+    kept = quality_classifier.keep_good(df, labels)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
+    assert quality_classifier.classify(no_docs, labels).count() == 0
+    assert {r["score"] for r in quality_classifier.classify(df, labels.limit(0)).collect()} == {0.5}
+
+
+# ---- near duplicates and repeats
+
+
+def shingles(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def components_of(documents):
+    sets = [(d, shingles(t)) for d, t in documents]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        r = find(i)
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    return [(d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(sets)]
+
+
+def test_near_duplicates(docs, no_docs):
+    got = sorted(rows(jaccard_join.near_duplicates(docs)), key=key)
+    assert got == sorted(components_of([(d, t) for d, t, _ in corpus()]), key=key)
+    assert jaccard_join.near_duplicates(no_docs).count() == 0
+
+
+def test_near_duplicates_at_every_size_and_distance(spark):
+    rng = np.random.default_rng(3)
+    documents = []
+    for n in (*range(1, 30), 40, 63, 64, 65, 80, 120, 255, 257, 300):
+        base = [f"v{x}" for x in rng.integers(0, 10**9, n + 4)]
+        for copy in range(5):
+            w = list(base)
+            for _ in range(int(rng.integers(0, max(2, n // 30) + 1))):
+                w[int(rng.integers(len(w)))] = f"e{rng.integers(10**9)}"
+            if copy % 2:
+                w = w[: max(1, len(w) - int(rng.integers(0, n // 4 + 1)))]
+            documents.append((len(documents), " ".join(w)))
+    common = " ".join(f"c{i}" for i in range(50))
+    documents += [(len(documents) + i, common + " " + " ".join(f"o{i}x{k}" for k in range(int(rng.integers(8, 60))))) for i in range(30)]
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    assert sorted(rows(jaccard_join.near_duplicates(df))) == sorted(components_of(documents))
+
+
+def test_keep_one(docs):
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert ids == Counter([1, 2, 3, 4, 5, 6, 7, None, None, 10, 11, 12, 14, 15, 100])
+
+
+def cut_repeats(documents, n=20):
+    first = {}
+    split = [(d, words(t)) for d, t in documents]
+    order = sorted(range(len(split)), key=lambda i: (split[i][0] is None, split[i][0] or 0, i))
+    for i in order:
+        w = split[i][1]
+        for s in range(len(w) - n + 1):
+            first.setdefault(tuple(w[s : s + n]), (i, s))
+    out = []
+    for i, (d, w) in enumerate(split):
+        gone = {s + k for s in range(len(w) - n + 1) if first[tuple(w[s : s + n])] != (i, s) for k in range(n)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return out
+
+
+def test_repeats(docs, no_docs):
+    got = sorted(rows(substring_dedup.remove_repeats(docs)), key=key)
+    assert got == sorted(cut_repeats([(d, t) for d, t, _ in corpus()]), key=key)
+    assert substring_dedup.remove_repeats(no_docs).count() == 0
+
+
+def test_repeats_of_few_words(spark):
+    rng = np.random.default_rng(5)
+    documents = [(i, " ".join(rng.choice(["a", "b"], int(rng.integers(0, 200))))) for i in range(60)]
+    documents += [(100 + i, " ".join(f"p{k}" for k in range(int(rng.integers(0, 9)), 33))) for i in range(12)]
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    assert sorted(rows(substring_dedup.remove_repeats(df))) == sorted(cut_repeats(documents))
+
+
+# ---- secrets
+
+
+def test_base_spans():
+    assert secrets.base_spans('API_KEY: "abcdefghijkl" secret:token:abcdefghijklm passWORD = short') == [("assign", 0, 22)]
+    assert secrets.base_spans("ſecret=abcdefghijklmnop") == []  # a long s is no s
+    assert [k for k, _, _ in secrets.base_spans("AKIA" + "A" * 13 + " AKIA" + "B" * 14)] == ["access"]
+    assert [x[1:] for x in secrets.base_spans("é" + "0123456789abcdef" + "g" + "f" * 15)] == [(1, 17)]
+
+
+def test_weak_parts_are_reported_only_together():
+    def found(text):
+        base = secrets.base_spans(text)
+        return sorted(k for k, _, _ in secrets.linked_spans(text, base, 200))
+
+    assert found("user=alice then pwd: hunter2!") == ["identifier", "weak"]
+    assert found("pwd: hunter2!") == [] and found("user=alice") == [] and found("see https://example.org/x") == []
+    assert found("user=alice" + " " * 500 + "pwd: hunter2!") == []  # out of reach
+    assert found("user=alice\n\npwd: hunter2!") == []  # another scope
+    assert found("postgres://db.example.org/main password=abcdefghijklmnop") == ["endpoint"]
+
+
+def test_secret_scan_and_redaction(spark, docs, no_docs):
+    got = secrets.scan(docs).collect()
+    assert len(got) == len(corpus())
+    for r in got:
+        base = secrets.base_spans(next((t for d, t, _ in corpus() if d == r["doc_id"]), None) or "")
+        assert r["base_sha256"] == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
+    text = "é token = \"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda\" end"
+    df = spark.createDataFrame([(1, text, len(text)), (2, None, None)], "doc_id long, text string, n_chars int")
+    assert rows(secrets.redact(df)) == [(1, "é [secret]\" end", 15), (2, None, None)]
+    assert secrets.scan(no_docs).count() == 0
+
+
+# ---- token counts
+
+
+def best_count(word, vocabulary):
+    best = [(0, 0)] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        ways = [(best[a][0] + vocabulary[word[a:end]], best[a][1] - 1) for a in range(end) if word[a:end] in vocabulary and best[a]]
+        best[end] = max(ways, default=None)
+    return -best[-1][1]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=12).filter(lambda b: not set(b) & set(b" \t\n\v\f\r")), max_size=20))
+def test_trie_counts_equal_plain_viterbi(found):
+    small = {bytes([i]): -90 - i % 7 for i in range(256)} | {b"ab": -50, b"abc": -99, b"\x00\x00": -120, b"bc": -60, b" a": -80}
+    counter = token_counts.TrieCounter(small)
+    counter.learn(sorted({b" " + w for w in [*found, b"abcabc", b"aab"]}))
+    for w, n in counter.counts.items():
+        assert n == best_count(w, small)
+
+
+def test_token_counts(docs, no_docs):
+    vocabulary = token_counts.zipf_vocabulary(RANKS)
+    got = {(r["doc_id"], r["n_pretokens"]): r["n_tokens"] for r in token_counts.count_tokens(docs, RANKS).collect()}
+    known = {}
+    for doc, text, _ in corpus():
+        if doc != 14:  # one word of 30,000 letters
+            for w in set(words(text)) - known.keys():
+                known[w] = best_count(b" " + w.encode(), vocabulary)
+            assert got[(doc, len(words(text)))] == sum(known[w] for w in words(text))
+    assert token_counts.count_tokens(no_docs, RANKS).count() == 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, keep, mix, only, partitions, raw_texts, sum_blobs
+from .common import WordHashes, grams, keep, mix, partitions, raw_texts, sum_blobs
 from .components import components
 from .substring_dedup import _rows, by_batch, in_batches, split_by_top_bits
 
@@ -368,9 +368,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
     """Rows of docs, all columns: of each component the row with the least doc_id (null last), and all empty ones."""
-    named = in_batches(docs, *docs.columns)
+    named = in_batches(docs, **{f"_{i}": c for i, c in enumerate(docs.columns)})
     whole = keep(_rooted(named.select("doc_id", "text", "bid", "row"), shingle, percent).where("root is not null"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "bid", "row")
     first = whole.groupBy("root").agg(F.min(order).alias("x")).select("root", F.col("x.bid").alias("b"), F.col("x.row").alias("r"))
     gone = whole.join(first, "root").where("bid != b or row != r").select("bid", "row")
-    return named.join(gone, ["bid", "row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.join(gone, ["bid", "row"], "left_anti").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

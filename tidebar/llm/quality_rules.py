@@ -62,8 +62,11 @@ def trusted_ids(labels: DataFrame, most: int = 20_000) -> list[int]:
     return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
-def log_ratios(docs: DataFrame, trusted: list[int], smoothing: float = 8.0) -> np.ndarray:
-    """log(P_trusted / P_corpus) of each bucket. The corpus counts are over all documents."""
+def log_ratios(docs: DataFrame, trusted: list[int], shrink: float = 0.1) -> np.ndarray:
+    """log(P_trusted / P_corpus) of each bucket. The corpus counts are over all documents.
+
+    P_trusted is shrunk towards P_corpus by a share, so that no ratio is below log(shrink) at any size of the input.
+    """
     ids = np.array(sorted(trusted), dtype=np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +85,12 @@ def log_ratios(docs: DataFrame, trusted: list[int], smoothing: float = 8.0) -> n
     good, corpus = sum_blobs(only(docs, "doc_id", "text").mapInArrow(count, "blob binary"), 2 * BUCKETS).reshape(2, BUCKETS)
     if not good.sum():
         return np.zeros(BUCKETS, dtype=np.float32)
-    p = (good + smoothing * corpus / corpus.sum() * BUCKETS + 1e-3) / (good.sum() + smoothing * BUCKETS)
-    q = (corpus + 1e-3) / corpus.sum()
+    q = np.maximum(corpus, 1e-3) / corpus.sum()
+    p = (1 - shrink) * good / good.sum() + shrink * q
     return np.log(p / q).astype(np.float32)
 
 
-def judge(docs: DataFrame, trusted: list[int], threshold: float = -0.5) -> DataFrame:
+def judge(docs: DataFrame, trusted: list[int], threshold: float = -0.35) -> DataFrame:
     """Base rules and verdict of every whole text.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr. Kept are

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, keep, only, partitions, raw_texts
+from .common import WordHashes, grams, keep, partitions, raw_texts
 
 #: Rows of a file that form a batch.
 BATCH_ROWS = 1024
@@ -38,15 +38,18 @@ OUT = "kind int, bid long, bucket int, blob binary, doc_id long, n_words long, n
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def in_batches(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns (doc_id and text unless named), bid (of a batch of rows), row (of the row in its batch's file); docs not read from files are written first."""
-    columns = columns or ("doc_id", "text")
+def in_batches(docs: DataFrame, **more: str) -> DataFrame:
+    """doc_id, text, bid (of a batch of rows), row (of the row in its batch's file), and more columns by new names.
+
+    Documents that are not read from files are written first.
+    """
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
-        docs = keep(only(docs, *columns))
+        docs = keep(docs)
     batch = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BATCH_ROWS))
-    return docs.select(*[F.col(f"`{c}`") for c in columns], batch.alias("bid"), F.col("_metadata.row_index").alias("row"))
+    others = [F.col(f"`{c}`").alias(n) for n, c in more.items()]
+    return docs.select("doc_id", "text", batch.alias("bid"), F.col("_metadata.row_index").alias("row"), *others)
 
 
 def by_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
