@@ -126,11 +126,11 @@ def roc_auc(df: DataFrame, prob: str, label: str) -> DataFrame:
 
     Rows are first counted by distinct probability; the running count is over these.
     """
-    by = df.groupBy(prob).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"))
-    below = Window.orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    pairs = F.sum("p") * F.sum("n")
-    return by.agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / 2.0)) / F.nullif(pairs.cast("double"), F.lit(0.0))).alias("auc"))
+    by = df.groupBy(F.col(prob).alias("_prob")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_n"))
+    below = Window.orderBy("_prob").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("_under", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    pairs = F.sum("_p") * F.sum("_n")
+    return by.agg((F.sum(F.col("_p") * (F.col("_under") + F.col("_n") / 2.0)) / F.nullif(pairs.cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def accuracy(pred: str, true: str) -> Column:

@@ -31,7 +31,7 @@ def tick_bars_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_of_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(order_line_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet")), 4)
+    return rounded(order_line_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet")), 8)
 
 
 def labels_triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'all' AS series_id, row_number() OVER (ORDER BY w) - 1 AS seq, w AS ts, {r('arg_min(price, n)', 'open')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('arg_max(price, n)', 'close')}, {r('sum(value)', 'volume')} FROM e GROUP BY w""",
         "tick_bars_by_series": f"WITH {oracle.SERIES_BARS} SELECT series_id, seq, ts, {', '.join(r(c, c) for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars",
         "bars_of_order_lines": f"""WITH l AS (SELECT *, l_extendedprice / l_quantity AS u, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice / l_quantity) AS n FROM lineitem)
-          SELECT 'all' AS series_id, row_number() OVER (ORDER BY l_shipdate) - 1 AS seq, l_shipdate::TIMESTAMP AS ts, {r('arg_min(u, n)', 'open', 4)}, {r('max(u)', 'high', 4)}, {r('min(u)', 'low', 4)}, {r('arg_max(u, n)', 'close', 4)}, {r('sum(l_quantity)', 'volume', 4)} FROM l GROUP BY l_shipdate""",
+          SELECT 'all' AS series_id, row_number() OVER (ORDER BY l_shipdate) - 1 AS seq, l_shipdate::TIMESTAMP AS ts, {r('arg_min(u, n)', 'open', 8)}, {r('max(u)', 'high', 8)}, {r('min(u)', 'low', 8)}, {r('arg_max(u, n)', 'close', 8)}, {r('sum(l_quantity)', 'volume', 8)} FROM l GROUP BY l_shipdate""",
         "labels_triple_barrier": f"{barrier} SELECT series_id, seq, label_primary FROM lab",
         "labels_fixed_horizon": f"WITH {fixed} SELECT series_id, seq, label_primary FROM fl",
         "label_counts": f"{barrier} SELECT label_primary, count(*) AS n FROM lab GROUP BY 1",
