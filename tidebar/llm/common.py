@@ -73,7 +73,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """word (bytes) -> its 64-bit hash as 8 raw bytes; emptied when it has grown to `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
