@@ -217,6 +217,8 @@ def walk_forward_folds(n: int, windows: int = 5, first: float = 0.40, test: floa
 
 def fold_rows(df: DataFrame, folds: list[Fold]) -> DataFrame:
     """A row for each window that a bar is in, with window_id and role; a few bounds beside each row, no join of rows."""
+    if not folds:
+        return df.limit(0).withColumns({"window_id": F.lit(0), "role": F.lit("")})
     roles = [
         F.when(F.col("seq") < f.test_end, F.struct(F.lit(f.window_id).alias("window_id"), F.when(F.col("seq") < f.val_start, "train").when(F.col("seq") < f.train_end, "val").otherwise("test").alias("role")))
         for f in folds

@@ -125,7 +125,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.report(_predicted(spark, sf_dir), 0.55), 2)
+    return rounded(E.report(_predicted(spark, sf_dir), 0.55), 4)
 
 
 def walk_forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +205,8 @@ def oracle_sql() -> dict[str, str]:
         "best_thresholds": f"{swept} SELECT {swept_columns} FROM sw ORDER BY round(sh, 4) DESC, cut LIMIT 5",
         "roc_auc": f"{predicted} SELECT {r(auc, 'auc')}",
         "report": f"""{predicted}, t AS (SELECT seq, (signal - 1) * ret * size AS g FROM p WHERE signal <> 1), c AS (SELECT *, sum(g) OVER (ORDER BY seq) AS cum FROM t), d AS (SELECT *, max(cum) OVER (ORDER BY seq) - cum AS dd FROM c)
-          SELECT metric, {r('value', 'value', 2)} FROM (VALUES ('Stage1_Accuracy_Unfiltered', (SELECT round(avg(CASE WHEN pred = y THEN 1.0 ELSE 0 END), 4) FROM p)), ('Meta_AUC', round({auc}, 4)), ('Tau', 0.55),
-            ('N_Trades', (SELECT count(*) FROM t)), ('Trade_Rate_pct', (SELECT round(100.0 * (SELECT count(*) FROM t) / count(*), 2) FROM p)), ('Win_Rate', (SELECT round(avg(CASE WHEN g > 0 THEN 1.0 ELSE 0 END), 4) FROM t)),
+          SELECT metric, {r('value', 'value', 4)} FROM (VALUES ('Stage1_Accuracy_Unfiltered', (SELECT round(avg(CASE WHEN pred = y THEN 1.0 ELSE 0 END), 4) FROM p)), ('Meta_AUC', round({auc}, 4)), ('Tau', 0.55),
+            ('N_Trades', (SELECT count(*) FROM t)), ('Trade_Rate_pct', (SELECT round(100.0 * (SELECT count(*) FROM t) / count(*), 2) FROM p)), ('Win_Rate', (SELECT round(avg(CASE WHEN g > 0 AND NOT isnan(g) THEN 1.0 ELSE 0 END), 4) FROM t)),
             ('Sharpe_Annualised', (SELECT round(avg(g) / (stddev_pop(g) + 1e-9) * {YEAR}, 3) FROM t)), ('Cumulative_Return', (SELECT round(sum(g), 4) FROM t)), ('Max_Drawdown', (SELECT round(max(dd), 4) FROM d))) v(metric, value)""",
         "walk_forward_windows": folds,
     }
