@@ -11,6 +11,7 @@ from tidebar.operators import labels as L
 from tidebar.operators import prepare as P
 from tidebar.operators.features import features
 from tidebar.plans.pipeline import Config, Trained, run_inference, run_train, run_walk_forward
+from tidebar.plans.signal_queries import QUERIES
 
 from .test_features import bars, table, walk
 
@@ -49,6 +50,24 @@ def test_scaler_of_flat_feature(spark):
     assert [r[0] for r in table(P.scale(odd, params, ["a", "b"]), "b")] == [0.0, -0.5, 0.0, 0.5, 1.0]
 
 
+@pytest.mark.parametrize("step", [1, 7])
+def test_sequences_hold_every_window(spark, step):
+    df = spark.createDataFrame([("s", i, float(i), float(i * i), i % 3) for i in range(80)], "series_id string, seq long, a double, b double, y int")
+    got = sorted(P.sequences(df, ["a", "b"], 60, step, "y").collect(), key=lambda r: r["seq"])
+    want = [("s", e, [[float(i), float(i * i)] for i in range(e - 59, e + 1)], e % 3) for e in range(59, 80, step)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_a_query_windows_every_bar_and_feature(spark):
+    made = QUERIES["sequences_every_bar"](spark, "/root/testdata/sf0.001")
+    got = {r["seq"]: r for r in made.collect()}
+    assert sorted(got) == list(range(59, max(got) + 1))
+    widths = {len(bar) for r in got.values() for bar in r["x"]}
+    assert len(widths) == 1 and widths.pop() > 90 and {len(r["x"]) for r in got.values()} == {60}
+    for e in range(60, max(got) + 1):
+        assert got[e]["x"][:-1] == got[e - 1]["x"][1:] and got[e]["y"] == e % 3
+
+
 def test_missing_returns_are_not_skipped(spark):
     df = spark.createDataFrame([(0, 2, 1.0, 1.0), (1, 0, 1.0, 1.0), (2, 2, 1.0, float("nan"))], "seq long, signal int, size double, ret double")
     r = E.trade_metrics(df).first()

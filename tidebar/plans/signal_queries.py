@@ -82,6 +82,14 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("seq", "y", F.size("x").cast("long").alias("n"), F.col("x")[0][0].cast("double").alias("first_open"), F.col("x")[59][1].cast("double").alias("last_close"), total.alias("closes")), 3)
 
 
+def sequences_every_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of all scaled features for each bar that has 60, with the class of its last bar; no SQL."""
+    df, names = P.clean(features(bars_of(spark, sf_dir)))
+    df = P.time_split(df.withColumn("y", F.col("seq") % 3))
+    df = P.scale(df, P.fit_scaler(df.where("part = 'train'"), names), names)
+    return P.sequences(df, names, 60, 1, "y")
+
+
 def time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = P.time_folds(bars_of(spark, sf_dir))
     return df.groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.max("seq_in_fold").alias("last_in_fold"))
@@ -138,7 +146,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         time_bars_hourly, tick_bars_by_series, bars_of_order_lines, labels_triple_barrier, labels_fixed_horizon, label_counts, class_weights, cleaned, time_split,
-        scaler_params, scaled, sequences, time_folds, signals, signal_table, filtered_trades, meta_inputs, threshold_sweep, best_thresholds, roc_auc, report, walk_forward_windows,
+        scaler_params, scaled, sequences, sequences_every_bar, time_folds, signals, signal_table, filtered_trades, meta_inputs, threshold_sweep, best_thresholds, roc_auc, report, walk_forward_windows,
     )
 }
 
