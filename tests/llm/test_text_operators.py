@@ -274,6 +274,29 @@ def test_weak_parts_are_reported_only_together():
     assert found("postgres://db.example.org/main password=abcdefghijklmnop") == ["endpoint"]
 
 
+def test_prefixed_names_and_parts_of_urls():
+    def found(text):
+        spans = secrets.linked_spans(text, secrets.base_spans(text), 200)
+        return sorted((k, text[s:e]) for k, s, e in spans)
+
+    assert found("DB_USER=admin\nDB_PASSWORD=hunter2") == [("identifier", "USER=admin"), ("weak", "PASSWORD=hunter2")]
+    assert found("MYSQL_HOST=db.example.org MYSQL_PWD=hunter2") == [("endpoint", "HOST=db.example.org"), ("weak", "PWD=hunter2")]
+    assert found("aws_access_key_id=abcd my-secret=hunter2") == [("identifier", "access_key_id=abcd"), ("weak", "secret=hunter2")]
+    assert found("superuser=admin bypass=hunter2") == []
+    assert found("postgres://admin:hunter2@db.example.org/x") == [("endpoint", "db.example.org/x"), ("identifier", "admin"), ("weak", "hunter2")]
+    assert found("redis://:p@ss@cache:6379") == [("endpoint", "cache:6379"), ("weak", "p@ss")]
+    assert found("http://user:hunter2@a.org,http://b:pw@c.org") == [("endpoint", "a.org,http://"), ("identifier", "b"), ("identifier", "user"), ("weak", "hunter2"), ("weak", "pw")]
+    assert found("see https://a.org/x?id=1&access_token=abcd&n=2") == [("endpoint", "https://a.org/x?id=1"), ("weak", "access_token=abcd")]
+    assert found("https://a.org/?user=alice&password=hunter2") == [("endpoint", "https://a.org/"), ("identifier", "user=alice"), ("weak", "password=hunter2")]
+    assert found("ftp://bob:0123456789abcdef@a.org") == [("endpoint", "a.org"), ("identifier", "bob")]  # the password is strong by itself
+    assert found("https://example.org:8080/a@b?x=1") == [] and found("https://a.org/?n=1 https://b.org/#top") == []
+
+
+def test_redaction_of_urls(spark):
+    df = spark.createDataFrame([(1, "go postgres://admin:hunter2@db.example.org now")], "doc_id long, text string")
+    assert rows(secrets.redact(df)) == [(1, "go postgres://[secret]:[secret]@[secret] now")]
+
+
 def test_secret_scan_and_redaction(spark, docs, no_docs):
     got = secrets.scan(docs).collect()
     assert len(got) == len(corpus())

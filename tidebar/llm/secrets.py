@@ -28,9 +28,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so shorter ones may as well not match
-ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20"'<>]{4,})|(?:\b(?:host|hostname|endpoint|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]{2,5})?)""", re.I | re.A)
-IDENTIFIER = re.compile(r"""\b(?:user|username|user_?id|login|account|client_?id|access_?key_?id|email)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A)
-WEAK = re.compile(r"""\b(?:password|passwd|pwd|pass|passphrase|secret|secret_?key|client_?secret|token|auth|api_?key|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.I | re.A)
+ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20"'<>]{4,})|(?:(?<![A-Za-z0-9])(?:host|hostname|endpoint|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]{2,5})?)""", re.I | re.A)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user|username|user_?id|login|account|client_?id|access_?key_?id|email)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A)
+WEAK = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|pwd|pass|passphrase|secret|secret_?key|client_?secret|token|auth|api_?key|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.I | re.A)
+#: user:password@ of a URL (a password may hold @), and parameters of a URL that are named as secrets are.
+LOGIN = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://([^\x00-\x20"'<>/?#:@]*):([^\x00-\x20"'<>/?#]+)@""", re.I | re.A)
+PARAMETER = re.compile(r"""[?&;#]((?:[a-z0-9_.-]{0,40}[_.-])?(?:password|passwd|pwd|pass|passphrase|secret|secret[_-]?key|client[_-]?secret|token|auth|api[_-]?key|private[_-]?key|credential)=[^\x00-\x20"'<>&;#]{4,})""", re.I | re.A)
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])")
 WEAK_WORDS = ("passw", "pwd", "pass", "secret", "token", "auth", "key", "credential")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -82,6 +85,13 @@ def _flat(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _url_parts(start: int, end: int, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Users, and passwords and secret parameters, of a URL."""
+    logins = list(LOGIN.finditer(text, start, end))
+    secret = [m.span(2) for m in logins] + [m.span(1) for m in PARAMETER.finditer(text, start, end)]
+    return [m.span(1) for m in logins if m[1]], _clear(secret, [])
+
+
 def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     """Candidates whose complementary parts are near them in their scope."""
     low = text.lower()
@@ -90,13 +100,34 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     weak_word = any(w in low for w in WEAK_WORDS)
     if not base and not weak_word and "://" not in low and ":" not in low and "=" not in low:
         return []
-    identifiers = _clear([m.span() for m in IDENTIFIER.finditer(text)], covered)
-    endpoints = _clear([m.span() for m in ENDPOINT.finditer(text)], _flat(covered + identifiers))
+    places = [m.span() for m in ENDPOINT.finditer(text)]
+    users: list[tuple[int, int]] = []
+    in_urls: list[tuple[int, int]] = []
+    split: dict[tuple[int, int], int] = {}  # URLs with parts, and where their own text begins
+    for s, e in places if "://" in low else []:
+        a, b = _url_parts(s, e, text)
+        if b:
+            users += a
+            in_urls += [(x, y) for x, y in b if not any(p <= x and y <= q for p, q in covered)]  # a strong secret is reported anyway
+            login = LOGIN.match(text, s, e)
+            split[s, e] = login.end() if login else s
+    users = _clear(users, covered)
+    plain = _clear([m.span() for m in IDENTIFIER.finditer(text)], _flat(covered + users + in_urls))
+    identifiers = sorted(users + plain)
+    taken = _flat(covered + identifiers + in_urls)
+    starts = [s for s, _ in taken]
+    for i, (s, e) in enumerate(places):
+        if (s, e) in split:  # up to its first part
+            s = split[s, e]
+            k = bisect_left(starts, s)
+            cut = min(e, starts[k]) if k < len(starts) else e
+            places[i] = (s, cut - (s < cut < e and text[cut - 1] in "?&;#"))
+    endpoints = _clear([(s, e) for s, e in places if s < e], taken)
     if not identifiers and not endpoints and not any(k == "access" for k, _, _ in base):
         return []
     found = [m.span() for m in WEAK.finditer(text)] if weak_word else []
-    weak = _clear(found, _flat(covered + identifiers + endpoints))
-    weak = sorted(weak + _clear(_loose(text), _flat(covered + identifiers + endpoints + weak)))
+    weak = in_urls + _clear(found, _flat(taken + endpoints + list(split)))
+    weak = sorted(weak + _clear(_loose(text), _flat(taken + endpoints + list(split) + weak)))
     if not weak and not strong:
         return []
 
