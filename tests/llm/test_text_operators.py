@@ -143,6 +143,25 @@ def test_log_ratio_rejects_what_trusted_texts_lack(spark):
     assert max(got[i] for i, _ in bad) < -0.35 < min(got[i] for i, _ in good)
 
 
+def test_all_trusted_labels_count(spark, monkeypatch):
+    n = 20_500  # above what was once taken
+    df = spark.range(n).selectExpr("id as doc_id", "concat('trusted ', id) as text").unionByName(spark.createDataFrame([(None, "odd text"), (n, "toxic text"), (n + 1, "bad text"), (5, "again")], "doc_id long, text string"))
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "cast(null as int) as toxic").unionByName(spark.createDataFrame([(n, 1, 1), (n + 1, 0, 0), (None, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int"))
+    trusted = quality_rules.trusted_ids(labels)
+    assert trusted.count() == n
+    good, corpus_ = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for d, text in [*((i, f"trusted {i}") for i in range(n)), (None, "odd text"), (n, "toxic text"), (n + 1, "bad text"), (5, "again")]:
+        at = quality_rules.buckets(text.encode())
+        np.add.at(corpus_, at, 1)
+        if d is not None and d < n:
+            np.add.at(good, at, 1)
+    q = np.maximum(corpus_, 1e-3) / corpus_.sum()
+    want = np.log((0.9 * good / good.sum() + 0.1 * q) / q).astype(np.float32)
+    assert np.array_equal(quality_rules.log_ratios(df, trusted), want)
+    monkeypatch.setattr(quality_rules, "SLICE", 7_000)  # three passes
+    assert np.array_equal(quality_rules.log_ratios(df, trusted), want)
+
+
 def test_classifier_learns_and_holds_out(spark, no_docs):
     rng = np.random.default_rng(1)
     texts = [(i, " ".join(f"w{rng.integers(500)}" for _ in range(rng.integers(30, 90)))) if i % 3 else (i, "BAD!! BAD!! " * int(rng.integers(5, 40))) for i in range(300)]

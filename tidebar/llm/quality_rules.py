@@ -7,6 +7,7 @@ document is judged by the same rule whatever its length. The model is two vector
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ BUCKETS = 1 << 16
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Trusted ids that are broadcast at once; with more there are several passes, so that texts are never shuffled.
+SLICE = 2_000_000
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("llr", pa.float64())]
 )
@@ -56,23 +59,25 @@ def base_rules(text: str, raw: bytes, hashes: WordHashes) -> tuple[int, int, int
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat
 
 
-def trusted_ids(labels: DataFrame, most: int = 20_000) -> list[int]:
-    """doc_ids marked good and not toxic: all, or of more than `most` those with the smallest hashes."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids marked good and not toxic, each once."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
 
 
-def log_ratios(docs: DataFrame, trusted: list[int], shrink: float = 0.1) -> np.ndarray:
-    """log(P_trusted / P_corpus) of each bucket. The corpus counts are over all documents.
+def log_ratios(docs: DataFrame, trusted: DataFrame | list[int], shrink: float = 0.1) -> np.ndarray:
+    """log(P_trusted / P_corpus) of each bucket. The counts are over all trusted and over all documents.
 
     P_trusted is shrunk towards P_corpus by a share, so that no ratio is below log(shrink) at any size of the input.
     """
-    ids = np.array(sorted(trusted), dtype=np.int64)
+    if not isinstance(trusted, DataFrame):
+        trusted = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(trusted))], "doc_id long")
+    texts, slices = only(docs, "doc_id", "text"), max(1, math.ceil(trusted.count() / SLICE))
+    ids = trusted.select("doc_id", F.lit(True).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((2, BUCKETS))
         for batch in batches:
-            good = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids)
+            good = batch.column(0).fill_null(False).to_numpy(zero_copy_only=False)
             texts = raw_texts(batch.column(1))
             for pick, row in ((good, 0), (~good, 1)):
                 for at in range(0, len(texts), 64):  # joined, as one count for many texts is faster
@@ -82,7 +87,13 @@ def log_ratios(docs: DataFrame, trusted: list[int], shrink: float = 0.1) -> np.n
         acc[1] += acc[0]
         yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], type=pa.binary())], ["blob"])
 
-    good, corpus = sum_blobs(only(docs, "doc_id", "text").mapInArrow(count, "blob binary"), 2 * BUCKETS).reshape(2, BUCKETS)
+    good, corpus = np.zeros((2, BUCKETS))
+    for i in range(slices):  # the first pass counts all texts, the others those of their own slice
+        part = F.broadcast(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == i))
+        flagged = texts.join(part, "doc_id", "inner" if i else "left").select("good", "text")
+        some, whole = sum_blobs(flagged.mapInArrow(count, "blob binary"), 2 * BUCKETS).reshape(2, BUCKETS)
+        good += some
+        corpus = corpus if i else whole
     if not good.sum():
         return np.zeros(BUCKETS, dtype=np.float32)
     q = np.maximum(corpus, 1e-3) / corpus.sum()
@@ -90,8 +101,8 @@ def log_ratios(docs: DataFrame, trusted: list[int], shrink: float = 0.1) -> np.n
     return np.log(p / q).astype(np.float32)
 
 
-def judge(docs: DataFrame, trusted: list[int], threshold: float = -0.35) -> DataFrame:
-    """Base rules and verdict of every whole text.
+def judge(docs: DataFrame, trusted: DataFrame | list[int], threshold: float = -0.35) -> DataFrame:
+    """Base rules and verdict of every whole text; trusted are doc_ids, each once if in a table.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr. Kept are
     documents that pass the base rules and whose mean log ratio reaches `threshold`; texts with no n-gram have the
