@@ -78,3 +78,16 @@ def test_recall_with_a_common_vector(spark):
     for r in got:
         if r["query_id"] == 3000:
             assert (r["vec_id"], round(r["score"], 12)) == (3000 + r["rank"], 1.0)
+
+
+def test_router_finds_rows_outside_a_small_sample():
+    rng = np.random.default_rng(8)
+    n, m = 204_800, 2048
+    x = neighbours.unit(rng.normal(size=(200, 24))[rng.integers(200, size=n)] + 0.6 * rng.normal(size=(n, 24)))
+    router = neighbours.learn(x[:m], 32, 5, 0.97)
+    filed, asked = router.scores(x).argmax(1), np.arange(m, m + 100)
+    s = x[asked] @ x.T
+    s[np.arange(100), asked] = -2
+    near = np.argpartition(-s, 4, axis=1)[:, :5]
+    sent = np.argsort(-router.scores(x[asked]), axis=1)[:, : router.probes]
+    assert (filed[near][:, :, None] == sent[:, None, :]).any(2).mean() >= 0.95
