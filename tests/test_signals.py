@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import evaluate as E
 from tidebar.operators import labels as L
+from tidebar.operators import models as M
 from tidebar.operators import prepare as P
 from tidebar.operators.features import features
 from tidebar.plans.pipeline import Config, Trained, run_inference, run_train, run_walk_forward
@@ -127,3 +128,12 @@ def test_train_infer_and_walk_forward(spark, tmp_path):
     assert sorted(map(tuple, signals.collect())) == sorted(map(tuple, run_inference(made, trained, config).collect()))
     results = run_walk_forward(made, config, windows=2, least_train=100, least_test=30).collect()
     assert [r["window_id"] for r in results][-1] == "MEAN" and len(results) == 3
+
+
+def test_scores_start_at_a_whole_window(spark, monkeypatch):
+    monkeypatch.setattr(M, "predict_primary", lambda model, df: df)
+    monkeypatch.setattr(E, "meta_inputs", lambda df, names, true: df.select("series_id", "seq"))
+    monkeypatch.setattr(M, "predict_meta", lambda model, df, names: df)
+    df = spark.createDataFrame([(s, 100 + 2 * i, i) for s in "ab" for i in range(25)], "series_id string, seq long, ts int")
+    got = Trained(["x"], None, None, None, 0.5, 20).score(df)
+    assert sorted((r["series_id"], r["ts"]) for r in got.collect()) == [(s, i) for s in "ab" for i in range(19, 25)]

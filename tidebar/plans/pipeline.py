@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEY
@@ -51,6 +51,12 @@ def _returns(raw: DataFrame, predicted: DataFrame) -> DataFrame:
     return predicted.join(E.next_return(raw).select(KEY, "seq", "ret"), [KEY, "seq"])
 
 
+def with_window(df: DataFrame, length: int) -> DataFrame:
+    """Rows of df that have a whole window of `length` rows behind them: all but the first length - 1 of a series."""
+    at = F.row_number().over(Window.partitionBy(KEY).orderBy("seq"))
+    return df.withColumn("_at", at).where(F.col("_at") >= length).drop("_at")
+
+
 @dataclass
 class Trained:
     names: list[str]
@@ -58,6 +64,7 @@ class Trained:
     primary: PipelineModel
     meta: GBTClassificationModel
     tau: float
+    sequence_length: int = 60
 
     @property
     def meta_names(self) -> list[str]:
@@ -68,16 +75,16 @@ class Trained:
         self.primary.write().overwrite().save(f"{path}/primary")
         self.meta.write().overwrite().save(f"{path}/meta")
         self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-        spark.createDataFrame([(json.dumps({"features": self.names, "tau": self.tau}),)], "value string").write.mode("overwrite").text(f"{path}/info")
+        spark.createDataFrame([(json.dumps({"features": self.names, "tau": self.tau, "sequence_length": self.sequence_length}),)], "value string").write.mode("overwrite").text(f"{path}/info")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Trained:
         info = json.loads(spark.read.text(f"{path}/info").first()[0])
-        return Trained(info["features"], spark.read.parquet(f"{path}/scaler"), PipelineModel.load(f"{path}/primary"), GBTClassificationModel.load(f"{path}/meta"), info["tau"])
+        return Trained(info["features"], spark.read.parquet(f"{path}/scaler"), PipelineModel.load(f"{path}/primary"), GBTClassificationModel.load(f"{path}/meta"), info["tau"], info.get("sequence_length", 60))
 
     def score(self, scaled: DataFrame, true: str | None = None) -> DataFrame:
         """Rows with predictions of both stages, from a window's length on."""
-        both = M.predict_primary(self.primary, scaled)
+        both = M.predict_primary(self.primary, with_window(scaled, self.sequence_length))
         inputs = E.meta_inputs(both, self.names, true)
         kept = both.select(KEY, "seq", "ts", *([true] if true else []))
         return M.predict_meta(self.meta, inputs, self.meta_names).join(kept, [KEY, "seq"])
@@ -93,8 +100,8 @@ def train(train_rows: DataFrame, val_rows: DataFrame, names: list[str], config:
     primary = M.train_primary(tr, names)
     oof = M.out_of_fold(tr, names, config.folds, config.sequence_length - 1)
     seen = tr.join(oof, [KEY, "seq"])
-    checked = M.predict_primary(primary, va)
-    made = Trained(names, scaler, primary, None, config.default_tau)
+    checked = M.predict_primary(primary, with_window(va, config.sequence_length))
+    made = Trained(names, scaler, primary, None, config.default_tau, config.sequence_length)
     made.meta = M.train_meta(E.meta_inputs(seen, names, "y"), E.meta_inputs(checked, names, "y"), made.meta_names)
     if config.tune_tau:
         made.tau = E.best_tau(E.sweep(_returns(val_rows, made.score(va, "y"))), config.default_tau)
