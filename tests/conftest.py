@@ -8,13 +8,14 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[2]")
+        SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "3g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "tidebar-warehouse"))
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tidebar-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.adf import adf_pvalues, mackinnon_p
 from tidebar.functions.frames import with_blocks
 from tidebar.functions.scan import Scan, ewm, scans, ta_ema
-from tidebar.operators.features import ALL, VARIANTS, features
+from tidebar.operators.features import ALL, FEATURES, VARIANTS, features, register, registry
 from tidebar.operators.features.registry import rolling_percentile
 
 START = dt.datetime(2024, 1, 1)
@@ -49,11 +49,11 @@ def test_runs_and_flat_bar(spark):
 
 
 def test_constant_prices(spark):
-    df = features(bars(spark, [5.0] * 150, 0.0), [n for n in ALL if n != "adf_pvalue_100"])
+    df = features(bars(spark, [5.0] * 150, 0.0))
     last = df.orderBy(F.desc("seq")).first()
     assert last["rsi_14"] == 0 and last["cci_14"] == 0 and last["williams_r"] == 0 and last["stoch_k"] == 0 and last["roc_5"] == 0 and last["entropy_30"] == 0
     assert last["linear_reg_r2_20"] == 0 and last["di_plus"] == 0 and last["atr_14"] == 0
-    for n in ("bar_return_zscore", "atr_ratio", "rolling_skew_30", "variance_ratio", "autocorr_1", "close_position", "dx_cross", "vortex_plus"):
+    for n in ("bar_return_zscore", "atr_ratio", "rolling_skew_30", "variance_ratio", "autocorr_1", "autocorr_10", "adf_pvalue_100", "volume_price_corr", "close_position", "dx_cross", "vortex_plus"):
         assert last[n] is None, n
 
 
@@ -130,6 +130,37 @@ def test_chunks_restart_running_sums_behind_their_warm_up(spark):
     assert [p[0] for p in parts[150:]] == pytest.approx([v[0] for v in alone[80:]])
 
 
+def test_stretches_equal_one_pass(spark):
+    """Series over several tasks: the same values as in one, with missing closes, a long rise and a flat stretch."""
+    n = 6000
+    closes = walk(n, 8)
+    closes[1000:2600] = [closes[999] + 0.01 * i for i in range(1600)]  # a run over a border
+    closes[3000:3400] = [50.0] * 400
+    closes[4090:4130:2] = [None] * 20
+    one = bars(spark, closes).unionByName(bars(spark, walk(300, 9), series="t"))
+    df = one.repartition(3)
+    names = [n for n in ALL if n not in ("vol_percentile", *FEATURES["session"])]
+    whole = {(r["series_id"], r["seq"]): r for r in features(df, names, task_rows=None).collect()}
+    cut = features(df, names, task_rows=5120)
+    got = cut.collect()
+    assert len(got) == len(whole) == n + 300
+    for r in got:
+        for name in names:
+            a, b = r[name], whole[r["series_id"], r["seq"]][name]
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-9, abs=1e-9)), (name, r["seq"], a, b)
+
+
+def test_a_feature_of_ones_own(spark):
+    register("half_rsi", "momentum", lambda: F.col("rsi_14") / 2)
+    try:
+        got = table(features(bars(spark, walk(40)), ["half_rsi", "rsi_14"]), "half_rsi", "rsi_14")
+        assert got[30][0] == pytest.approx(got[30][1] / 2)
+    finally:
+        registry.CUSTOM.clear()
+    with pytest.raises(ValueError):
+        register("rsi_14", "momentum", lambda: F.lit(1))
+
+
 def test_rolling_percentile(spark):
     values = [3.0, 1.0, 2.0, 2.0, None, 5.0, 4.0, 4.0, 1.0]
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "series_id string, seq long, x double")

@@ -115,19 +115,26 @@ def test_walk_forward_bounds():
     assert E.walk_forward_folds(1000) == []
 
 
-def test_train_infer_and_walk_forward(spark, tmp_path):
+def test_train_infer_and_walk_forward(spark, tmp_path, monkeypatch):
+    """The whole run on a few features, with few folds, iterations and trees."""
+    monkeypatch.setattr(M.train_primary, "__defaults__", ("y", (4,), 10))
+    monkeypatch.setattr(M.train_meta, "__defaults__", (3, 3, 0.1))
     names = [*P.CORE, "macd_histogram"]
-    made = features(bars(spark, walk(500, 5), volumes=[10.0] * 500), names).persist()
+    path = str(tmp_path / "features")
+    features(bars(spark, walk(400, 5), volumes=[10.0] * 400), names, task_rows=None).write.parquet(path)
+    made = spark.read.parquet(path)
     config = Config(folds=2, sequence_length=20)
     trained, report = run_train(made, config)
     assert [r["metric"] for r in report.collect()] == [n for n, _, _ in E.REPORT]
-    trained.save(str(tmp_path))
-    again = Trained.load(spark, str(tmp_path))
+    trained.save(str(tmp_path / "model"))
+    again = Trained.load(spark, str(tmp_path / "model"))
+    assert (again.names, again.tau, again.sequence_length) == (trained.names, trained.tau, 20)
     signals = run_inference(made, again, config)
-    assert signals.columns == ["ts", "primary_signal", "meta_confidence", "final_signal", "position_size"] and signals.count() > 400
-    assert sorted(map(tuple, signals.collect())) == sorted(map(tuple, run_inference(made, trained, config).collect()))
-    results = run_walk_forward(made, config, windows=2, least_train=100, least_test=30).collect()
-    assert [r["window_id"] for r in results][-1] == "MEAN" and len(results) == 3
+    assert signals.columns == ["ts", "primary_signal", "meta_confidence", "final_signal", "position_size"]
+    got = sorted(map(tuple, signals.collect()))
+    assert len(got) > 300 and got == sorted(map(tuple, run_inference(made, trained, config).collect()))
+    results = run_walk_forward(made, config, windows=1, least_train=100, least_test=30).collect()
+    assert [r["window_id"] for r in results] == ["1", "MEAN"] and results[0]["sharpe"] == results[1]["sharpe"]
 
 
 def test_scores_start_at_a_whole_window(spark, monkeypatch):

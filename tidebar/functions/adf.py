@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # MacKinnon's (1994) response surface for a Dickey-Fuller statistic with a constant.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -55,20 +51,6 @@ def adf_pvalues(x: np.ndarray) -> np.ndarray:
         at = best == k
         a, b = _regressors(x[at], step[at], int(k))
         beta, ssr, inverse = _fit(a, b)
-        tau[at] = beta[:, 0] / np.sqrt(ssr / (b.shape[1] - a.shape[2]) * inverse[:, 0, 0])
+        error = np.sqrt(ssr / (b.shape[1] - a.shape[2]) * inverse[:, 0, 0])
+        tau[at] = np.where(error > 0, beta[:, 0] / np.where(error > 0, error, 1), np.nan)
     return np.where(np.ptp(x, axis=1) > 0, mackinnon_p(tau), np.nan)
-
-
-def adf_pvalue(windows: Column) -> Column:
-    """p-value for arrays of 100 returns; null for shorter and for constant ones."""
-    return F.pandas_udf(_adf_pvalue, "double")(windows)
-
-
-def _adf_pvalue(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in windows:
-        out = np.full(len(part), np.nan)
-        at = np.array([w is not None and len(w) == 100 and bool(np.isfinite(w).all()) for w in part], dtype=bool)
-        whole = part[at]
-        for i in range(0, len(whole), 2000):
-            out[np.flatnonzero(at)[i : i + 2000]] = adf_pvalues(np.stack(whole.iloc[i : i + 2000].to_numpy()))
-        yield pd.Series([None if math.isnan(v) else v for v in out], dtype="float64")

@@ -73,6 +73,15 @@ def lowest(x: str | Column, n: int, until: int = 0) -> Column:
     return full(F.min(x), x, n, until)
 
 
+def corr(x: str, y: str, n: int) -> Column:
+    """Correlation over n rows; null where one of the two doesn't vary, for there is none. Gaps leave out their row."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(v)) for v in (x, y))
+    varied = (F.max(a).over(rows(n)) > F.min(a).over(rows(n))) & (F.max(b).over(rows(n)) > F.min(b).over(rows(n)))
+    spread = F.nullif(F.stddev_pop(a).over(rows(n)) * F.stddev_pop(b).over(rows(n)), F.lit(0.0))
+    return F.when(varied, F.covar_pop(a, b).over(rows(n)) / spread)
+
+
 def ratio(a: str | Column, b: str | Column) -> Column:
     """a / b, null where b is 0."""
     a, b = (F.col(v) if isinstance(v, str) else v for v in (a, b))

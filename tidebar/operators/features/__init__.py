@@ -1,3 +1,3 @@
-from .registry import ALL, FEATURES, VARIANTS, features
+from .registry import ALL, FEATURES, VARIANTS, features, register
 
-__all__ = ["ALL", "FEATURES", "VARIANTS", "features"]
+__all__ = ["ALL", "FEATURES", "VARIANTS", "features", "register"]

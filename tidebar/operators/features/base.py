@@ -16,7 +16,7 @@ ANNUAL = 252 * 1440
 def price_columns(bars: DataFrame) -> DataFrame:
     """Lags, true range, returns, directional moves and typical price."""
     df = with_blocks(bars)
-    df = df.withColumns({f"p{c}": lag(c) for c in ("high", "low", "close")} | {"nhigh": lead("high"), "nlow": lead("low"), "filled": F.last("close", ignorenulls=True).over(so_far())})
+    df = df.withColumns({f"p{c}": lag(c) for c in ("high", "low", "close")} | {"nhigh": lead("high"), "nlow": lead("low"), "filled": F.coalesce(F.last("close", ignorenulls=True).over(so_far()), F.col("filled0"))})
     h, low, c, pc = (F.col(x) for x in ("high", "low", "close", "pclose"))
     rise, fall = h - F.col("phigh"), F.col("plow") - low
     df = df.withColumns(

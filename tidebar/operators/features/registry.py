@@ -1,15 +1,22 @@
 """The registry of features, and the plan that computes any of them.
 
-Everything is a stack of window expressions over one partitioning and one ordering; a query that asks for a few
-features keeps only the windows these need, as the optimizer drops expressions that nothing reads.
+A series is cut into stretches, each behind the rows that its windows and recurrences reach back to and before the one
+that a swing looks ahead to, so that a long series is many tasks. What reaches back without bound (running sums,
+run lengths, last events) is carried into each stretch from a small table of all stretches. Values are those of one pass
+over the whole series.
+
+Everything but the statistics of returns is a stack of window expressions over one partitioning and one ordering; a
+query that asks for a few features keeps only the windows these need, as the optimizer drops expressions that nothing
+reads.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.frames import KEY, finite, flag, ratio, mean
@@ -19,15 +26,129 @@ from .base import price_columns, recurrences
 
 FAMILIES = {"price": price, "volatility": volatility, "momentum": momentum, "trend": trend, "statistical": statistical, "volume": volume, "session": session}
 PERCENTILE_WINDOW = 252 * 1440
-#: By family, in the order of registration.
+#: Rows of a stretch, and how far back windows and recurrences of a family reach: there a^rows is below 1e-18, so nothing is lost.
+TASK_ROWS = 8192
+REACH = {"price": 5120, "volatility": 3072, "momentum": 2048}
+#: The names, by family, in the order of registration.
 FEATURES: dict[str, list[str]] = {
-    "price": "log_return abs_return high_low_range close_position body_ratio upper_wick_ratio lower_wick_ratio gap consecutive_up consecutive_down bar_return_zscore price_vs_ema20 price_vs_ema50 price_vs_ema200 ema_cross_20_50 ema_slope_20 higher_high lower_low swing_strength".split(),
-    "volatility": "atr_14 atr_50 atr_ratio realized_vol_10 realized_vol_30 realized_vol_60 parkinson_vol garman_klass_vol yang_zhang_vol vol_of_vol vol_zscore vol_percentile bollinger_width keltner_width natr vol_regime_ma vol_breakout vol_contraction".split(),
-    "momentum": "rsi_7 rsi_14 rsi_21 rsi_divergence stoch_k stoch_d macd_line macd_signal macd_histogram macd_hist_slope roc_5 roc_10 roc_20 williams_r cci_14 cci_50 adx_14 di_plus di_minus dx_cross".split(),
-    "trend": "linear_reg_slope_20 linear_reg_slope_50 linear_reg_r2_20 linear_reg_r2_50 supertrend ichimoku_tk_cross ichimoku_cloud_dist aroon_up aroon_down aroon_oscillator vortex_plus vortex_minus".split(),
-    "statistical": "rolling_skew_30 rolling_skew_60 rolling_kurtosis_30 rolling_kurtosis_60 entropy_30 hurst_100 autocorr_1 autocorr_5 autocorr_10 partial_autocorr_1 variance_ratio adf_pvalue_100 jarque_bera rolling_median_dev quantile_range".split(),
-    "volume": "volume_sma_ratio volume_zscore volume_trend obv_slope mfi_14 vwap_distance volume_price_corr accumulation_dist".split(),
-    "session": "hour_sin hour_cos minute_sin minute_cos day_of_week_sin day_of_week_cos is_asian_session is_london_session is_newyork_session is_overlap_ln minutes_into_session minutes_to_close".split(),
+    "price": [
+        "log_return",
+        "abs_return",
+        "high_low_range",
+        "close_position",
+        "body_ratio",
+        "upper_wick_ratio",
+        "lower_wick_ratio",
+        "gap",
+        "consecutive_up",
+        "consecutive_down",
+        "bar_return_zscore",
+        "price_vs_ema20",
+        "price_vs_ema50",
+        "price_vs_ema200",
+        "ema_cross_20_50",
+        "ema_slope_20",
+        "higher_high",
+        "lower_low",
+        "swing_strength",
+    ],
+    "volatility": [
+        "atr_14",
+        "atr_50",
+        "atr_ratio",
+        "realized_vol_10",
+        "realized_vol_30",
+        "realized_vol_60",
+        "parkinson_vol",
+        "garman_klass_vol",
+        "yang_zhang_vol",
+        "vol_of_vol",
+        "vol_zscore",
+        "vol_percentile",
+        "bollinger_width",
+        "keltner_width",
+        "natr",
+        "vol_regime_ma",
+        "vol_breakout",
+        "vol_contraction",
+    ],
+    "momentum": [
+        "rsi_7",
+        "rsi_14",
+        "rsi_21",
+        "rsi_divergence",
+        "stoch_k",
+        "stoch_d",
+        "macd_line",
+        "macd_signal",
+        "macd_histogram",
+        "macd_hist_slope",
+        "roc_5",
+        "roc_10",
+        "roc_20",
+        "williams_r",
+        "cci_14",
+        "cci_50",
+        "adx_14",
+        "di_plus",
+        "di_minus",
+        "dx_cross",
+    ],
+    "trend": [
+        "linear_reg_slope_20",
+        "linear_reg_slope_50",
+        "linear_reg_r2_20",
+        "linear_reg_r2_50",
+        "supertrend",
+        "ichimoku_tk_cross",
+        "ichimoku_cloud_dist",
+        "aroon_up",
+        "aroon_down",
+        "aroon_oscillator",
+        "vortex_plus",
+        "vortex_minus",
+    ],
+    "statistical": [
+        "rolling_skew_30",
+        "rolling_skew_60",
+        "rolling_kurtosis_30",
+        "rolling_kurtosis_60",
+        "entropy_30",
+        "hurst_100",
+        "autocorr_1",
+        "autocorr_5",
+        "autocorr_10",
+        "partial_autocorr_1",
+        "variance_ratio",
+        "adf_pvalue_100",
+        "jarque_bera",
+        "rolling_median_dev",
+        "quantile_range",
+    ],
+    "volume": [
+        "volume_sma_ratio",
+        "volume_zscore",
+        "volume_trend",
+        "obv_slope",
+        "mfi_14",
+        "vwap_distance",
+        "volume_price_corr",
+        "accumulation_dist",
+    ],
+    "session": [
+        "hour_sin",
+        "hour_cos",
+        "minute_sin",
+        "minute_cos",
+        "day_of_week_sin",
+        "day_of_week_cos",
+        "is_asian_session",
+        "is_london_session",
+        "is_newyork_session",
+        "is_overlap_ln",
+        "minutes_into_session",
+        "minutes_to_close",
+    ],
 }
 ALL = [n for names in FEATURES.values() for n in names]
 
@@ -41,7 +162,6 @@ def _variants() -> dict[str, Column]:
         "consecutive_down_int": F.col("consecutive_down").cast("int"),
         "vol_contraction_strict": flag(F.col("atr14") < 0.5 * F.col("atr50")),
         "volume_sma_ratio_raw": ratio("volume", mean("volume", 20)),
-        "jarque_bera_60": F.col("jarque_bera"),
     }
 
 
@@ -109,30 +229,105 @@ def in_chunks(bars: DataFrame, rows: int, warm_up: int) -> DataFrame:
     )
 
 
-def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int | None = None, warm_up: int = 500, percentile_window: int = PERCENTILE_WINDOW) -> DataFrame:
+def in_stretches(bars: DataFrame, rows: int, reach: int) -> DataFrame:
+    """Bars of each stretch of `rows`, behind the `reach` ones before it and before the one after it.
+
+    series_id becomes (series, stretch); seq stays, so seeds and blocks of recurrences are where they were. _own is
+    false for the rows around a stretch.
+    """
+    if rows % 1024 or reach % 1024 or reach > rows:
+        raise ValueError("rows and reach must be multiples of 1024, and reach at most rows")
+    at = F.floor(F.col("seq") / rows)
+    first = F.when((F.col("seq") % rows == 0) & (at > 0), at - 1).otherwise(at)
+    df = bars.withColumn("_at", F.explode(F.sequence(first, F.floor((F.col("seq") + reach) / rows))))
+    key = F.struct(F.col(KEY).alias("series"), F.col("_at").alias("stretch"))
+    return df.select(key.alias(KEY), *[c for c in df.columns if c not in (KEY, "_at")], F.col(KEY).alias("_series"), (at == F.col("_at")).alias("_own"))
+
+
+def _ending(name: str) -> Column:
+    """The last value of a column in the own rows of a stretch."""
+    return F.max_by(name, F.when(F.col("_own") & F.col(name).isNotNull(), F.col("seq")))
+
+
+#: What a feature carries into a stretch from those before it.
+CARRY = {"vwap_distance": ("flow0", "volume0"), "consecutive_up": ("up0",), "consecutive_down": ("down0",), "swing_strength": ("swing0",), "supertrend": ("turn0",)}
+
+
+def _in_stretch() -> dict[str, Column]:
+    """What there is of it in one stretch: a sum or a last value."""
+    own = lambda x: F.when(F.col("_own"), x)
+    return {
+        "flow0": F.sum(own(F.col("tp") * F.col("volume"))),
+        "volume0": F.sum(own(F.col("volume"))),
+        "up0": F.max(own(F.when(price.breaks(1), F.col("seq")))),
+        "down0": F.max(own(F.when(price.breaks(-1), F.col("seq")))),
+        "swing0": _ending("_swing1"),
+        "turn0": _ending("_turn1"),
+    }
+
+
+def _carry(df: DataFrame, wanted: list[str], rows: int, reach: int) -> DataFrame:
+    """Stretches with what is carried into each. filled0 is the last close before the first row of a stretch."""
+    made = {n: _in_stretch()[n] for f, names in CARRY.items() if f in wanted for n in names}
+    out = price_columns(df.withColumn("filled0", F.lit(None).cast("double")))
+    if "swing_strength" in wanted:
+        out = out.withColumn("_swing1", price.swing())
+    if "supertrend" in wanted:
+        out = recurrences(out, {"trend"})
+        out = out.withColumns(trend.bands()).withColumn("_turn1", trend.turn())
+    early = F.col("_own") & (F.col("seq") < (F.col(f"{KEY}.stretch") + 1) * rows - reach)
+    ends = {"close_all": _ending("close"), "close_early": F.max_by("close", F.when(early & F.col("close").isNotNull(), F.col("seq")))}
+    per = out.groupBy(KEY).agg(*[x.alias(n) for n, x in {**ends, **made}.items()])
+    order = Window.partitionBy(f"{KEY}.series").orderBy(f"{KEY}.stretch")
+    before, long_before = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, -2)
+    filled = F.coalesce(F.lag("close_early").over(order), F.last("close_all", ignorenulls=True).over(long_before))
+    carried = [(F.sum(n) if n in CARRY["vwap_distance"] else F.last(n, ignorenulls=True)).over(before).alias(n) for n in made]
+    return per.select(KEY, filled.alias("filled0"), *carried)
+
+
+def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int | None = None, warm_up: int = 500, percentile_window: int = PERCENTILE_WINDOW, task_rows: int | None = TASK_ROWS) -> DataFrame:
     """bars (series_id, seq, ts, open ... volume) and the wanted features, all 104 unless told.
 
-    chunk_rows: compute chunk by chunk with `warm_up` rows of the chunk before, which other than a whole pass restarts
-    recurrences, running sums and run lengths there. vol_percentile needs a full window of volatilities: it is null in
-    series shorter than `percentile_window` and 14 rows.
+    task_rows: rows of a series that are one task's; None for a whole series. chunk_rows: instead compute chunk by chunk
+    with `warm_up` rows of the chunk before, which other than a whole pass restarts recurrences, running sums and run
+    lengths there. vol_percentile needs a full window of volatilities: it is null in series shorter than
+    `percentile_window` and 14 rows.
     """
-    wanted = ALL if wanted is None else wanted
-    if unknown := [n for n in wanted if n not in ALL and n not in VARIANTS]:
+    wanted = ALL + list(CUSTOM) if wanted is None else wanted
+    if unknown := [n for n in wanted if n not in ALL and n not in VARIANTS and n not in CUSTOM]:
         raise ValueError(f"unknown features: {', '.join(unknown)}")
     if chunk_rows:
-        parts = features(in_chunks(bars, chunk_rows, warm_up), wanted, None, warm_up, percentile_window).where("_own")
+        parts = features(in_chunks(bars, chunk_rows, warm_up), wanted, None, warm_up, percentile_window, None).where("_own")
         return parts.select(F.col("_series").alias(KEY), F.col("_seq").alias("seq"), "ts", *OHLCV, *wanted)
     kept = bars.columns
-    families = {f for f, names in FEATURES.items() if set(names) & set(wanted)} | {VARIANT_OF[n] for n in wanted if n in VARIANTS}
-    df = recurrences(price_columns(bars), families)
+    families = {f for f, names in FEATURES.items() if set(names) & set(wanted)} | {VARIANT_OF[n] for n in wanted if n in VARIANTS} | {CUSTOM[n][0] for n in wanted if n in CUSTOM}
+    needed = {{"consecutive_up_int": "consecutive_up", "consecutive_down_int": "consecutive_down"}.get(n, n) for n in wanted}
+    df = bars
+    if task_rows:
+        reach = max((REACH.get(f, 1024) for f in families), default=1024)
+        df = in_stretches(bars, task_rows, reach)
+        df = df.join(_carry(df, needed, task_rows, reach), KEY)
+        df = df.withColumn("_use", F.col("_own"))
+    else:
+        df = df.withColumn("_use", F.lit(True))
+    df = df.withColumns({n: F.lit(None).cast("double") for n in ("filled0", *(x for names in CARRY.values() for x in names)) if n not in df.columns})
+    df = recurrences(price_columns(df), families)
     for step in ("prepare", "first", "second"):
         made = {n: x for f in FAMILIES if f in families and hasattr(FAMILIES[f], step) for n, x in getattr(FAMILIES[f], step)().items()}
-        if step == "first" and "adf_pvalue_100" not in wanted:
-            made.pop("adf_pvalue_100", None)
         if made:
             df = df.withColumns(made)
+    returns = [n for n in statistical.MADE if n in wanted or n == "jarque_bera" and "jarque_bera_60" in wanted]
     if set(VARIANTS) & set(wanted):
-        df = df.withColumns({n: x for n, x in _variants().items() if n in wanted})
+        df = df.withColumns({n: x for n, x in _variants().items() if n in wanted and n != "jarque_bera_60"})
+    if made := {n: CUSTOM[n][1]() for n in wanted if n in CUSTOM}:
+        df = df.withColumns(made)
+    if returns:
+        names = [*kept, *(n for n in wanted if n in df.columns and n not in kept), *(n for n in ("_series", "_own") if n in df.columns and n not in kept), *({"r", "atr14"} & set(df.columns))]
+        df = statistical.compute(df.select(*names), returns)
+        if "jarque_bera_60" in wanted:
+            df = df.withColumn("jarque_bera_60", F.col("jarque_bera"))
+    if task_rows:
+        df = df.where("_own").withColumn(KEY, F.col("_series"))
     if "vol_percentile" in wanted:
         longest = bars.groupBy(KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if longest < percentile_window + 14:
@@ -140,3 +335,14 @@ def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int |
         else:
             df = rolling_percentile(df, "atr14", percentile_window, "vol_percentile")
     return df.select(*kept, *wanted)
+
+
+#: Features that users add: name -> (family whose columns it builds on, what makes it).
+CUSTOM: dict[str, tuple[str, Callable[[], Column]]] = {}
+
+
+def register(name: str, family: str, make: Callable[[], Column]) -> None:
+    """Add a feature of one's own: a column over those of a family, whose windows reach back 100 rows at the most."""
+    if name in ALL or name in VARIANTS or family not in FAMILIES:
+        raise ValueError(f"{name} is taken, or {family} no family")
+    CUSTOM[name] = (family, make)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.frames import finite, full, highest, lag, lowest, ratio, rows, so_far, total
+from ...functions.frames import corr, finite, full, highest, lag, lowest, ratio, rows, so_far, total
 
 c = F.col
 
@@ -19,13 +19,20 @@ def _end_of_fit(n: int) -> Column:
     return F.when(F.count("close").over(rows(n)) == n, start + slope * c("seq"))
 
 
-def prepare() -> dict[str, Column]:
+def bands() -> dict[str, Column]:
     half = (c("high") + c("low")) / 2
+    return {"_above": half + 3 * c("atr10"), "_below": half - 3 * c("atr10")}
+
+
+def turn() -> Column:
+    return F.when(c("close") > lag("_above"), 1.0).when(c("close") < lag("_below"), -1.0)
+
+
+def prepare() -> dict[str, Column]:
     return {
         "_lr20": _end_of_fit(20),
         "_lr50": _end_of_fit(50),
-        "_above": half + 3 * c("atr10"),
-        "_below": half - 3 * c("atr10"),
+        **bands(),
         "_m9": _middle(9),
         "_m26": _middle(26),
         "_m52": _middle(52),
@@ -42,9 +49,8 @@ def _aroon(x: Column) -> Column:
 
 
 def _r2(x: str, n: int) -> Column:
-    r = F.corr("close", x).over(rows(n))
-    flat = (F.max("close").over(rows(n)) == F.min("close").over(rows(n))) | (F.max(x).over(rows(n)) == F.min(x).over(rows(n)))
-    return F.when(F.count(x).over(rows(n)) == n, F.when(flat, 0.0).otherwise(r * r))
+    r = F.coalesce(corr("close", x, n), F.lit(0.0))
+    return F.when(F.count(x).over(rows(n)) == n, r * r)
 
 
 def first() -> dict[str, Column]:
@@ -53,7 +59,7 @@ def first() -> dict[str, Column]:
         "linear_reg_slope_50": full(F.regr_slope("close", "seq"), "close", 50),
         "linear_reg_r2_20": _r2("_lr20", 20),
         "linear_reg_r2_50": _r2("_lr50", 50),
-        "_turn": F.when(c("close") > lag("_above"), 1.0).when(c("close") < lag("_below"), -1.0),
+        "_turn": turn(),
         "ichimoku_tk_cross": finite(ratio(c("_m9") - c("_m26"), c("atr14"))),
         "ichimoku_cloud_dist": finite(ratio(c("close") - ((c("_m9") + c("_m26")) / 2 + c("_m52")) / 2, c("atr14"))),
         "aroon_oscillator": c("aroon_up") - c("aroon_down"),
@@ -63,4 +69,4 @@ def first() -> dict[str, Column]:
 
 
 def second() -> dict[str, Column]:
-    return {"supertrend": F.last("_turn", ignorenulls=True).over(so_far())}
+    return {"supertrend": F.coalesce(F.last(F.when(c("_use"), c("_turn")), ignorenulls=True).over(so_far()), c("turn0"))}

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.frames import finite, full, lag, mean, ratio, rows, sd, so_far
+from ...functions.frames import corr, finite, full, lag, mean, ratio, rows, sd, so_far
 
 c = F.col
 
 
+def _all(x: Column, carried: str) -> Column:
+    """Running sum from the first bar on."""
+    here = F.sum(F.when(c("_use"), x)).over(so_far())
+    return F.coalesce(here + c(carried), here, c(carried))
+
+
 def prepare() -> dict[str, Column]:
     flow = c("tp") * c("volume")
     ptp = lag("tp")
@@ -21,7 +27,7 @@ def prepare() -> dict[str, Column]:
         "_adl": F.coalesce(clv, F.lit(0.0)) * c("volume"),
         "_v20": mean("volume", 20),
         "_ar": F.abs(c("r")),
-        "_vwap": F.sum(flow).over(so_far()) / F.nullif(F.sum("volume").over(so_far()), F.lit(0.0)),
+        "_vwap": _all(flow, "flow0") / F.nullif(_all(c("volume"), "volume0"), F.lit(0.0)),
     }
 
 
@@ -36,6 +42,6 @@ def first() -> dict[str, Column]:
         "obv_slope": F.when(c("seq") >= 20, F.sum("_obv").over(rows(20)) / 20),
         "mfi_14": F.when(F.count("tp").over(rows(14)) == 14, mfi),
         "vwap_distance": finite(ratio(c("close") - c("_vwap"), c("tr14"))),
-        "volume_price_corr": full(F.corr("volume", "_ar"), both, 20),
+        "volume_price_corr": F.when(F.count(both).over(rows(20)) == 20, corr("volume", "_ar", 20)),
         "accumulation_dist": F.when(c("seq") >= 20, F.sum("_adl").over(rows(20)) / 20),
     }
