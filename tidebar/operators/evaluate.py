@@ -12,6 +12,8 @@ from ..functions.frames import KEY, lead, with_blocks
 ANNUAL = 252 * 1440
 PROBS = ("p_short", "p_flat", "p_long")
 NAN = float("nan")
+#: Bands of probabilities, and rows of a series, within which running figures are taken in one task.
+BANDS, BLOCK = 4096, 4096
 
 
 def argmax(*columns: str) -> Column:
@@ -124,13 +126,17 @@ def best_thresholds(swept: DataFrame, n: int = 5) -> DataFrame:
 def roc_auc(df: DataFrame, prob: str, label: str) -> DataFrame:
     """auc: the share of (positive, negative) pairs that are in order, ties half; null unless both occur.
 
-    Rows are first counted by distinct probability; the running count is over these.
+    Rows are first counted by distinct probability; running counts are taken within bands of it, and over the bands.
     """
     by = df.groupBy(F.col(prob).alias("_prob")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_n"))
-    below = Window.orderBy("_prob").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("_under", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    band = F.when(F.isnan("_prob"), BANDS + 1).otherwise(F.floor(F.least(F.greatest("_prob", F.lit(0.0)), F.lit(1.0)) * BANDS))
+    by = by.withColumn("_band", F.coalesce(band, F.lit(-1)))
+    before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by.groupBy("_band").agg(F.sum("_n").alias("_all")).select("_band", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    below = Window.partitionBy("_band").orderBy("_prob").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("_in", F.coalesce(F.sum("_n").over(below), F.lit(0))).join(starts, "_band")
     pairs = F.sum("_p") * F.sum("_n")
-    return by.agg((F.sum(F.col("_p") * (F.col("_under") + F.col("_n") / 2.0)) / F.nullif(pairs.cast("double"), F.lit(0.0))).alias("auc"))
+    return by.agg((F.sum(F.col("_p") * (F.col("_start") + F.col("_in") + F.col("_n") / 2.0)) / F.nullif(pairs.cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def accuracy(pred: str, true: str) -> Column:
@@ -144,16 +150,19 @@ def trade_metrics(df: DataFrame, signal: str = "signal", size: str = "size", ret
     makes what includes it NaN, and is no win.
     """
     trades = df.where(F.col(signal) != 1).select("seq", (pnl(F.col(signal), F.col(ret)) * F.col(size)).alias("g"))
-    run = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    trades = trades.withColumn("cum", F.sum("g").over(run)).withColumn("drop", F.max("cum").over(run) - F.col("cum"))
+    run = Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = trades.withColumn("block", F.floor(F.col("seq") / BLOCK)).withColumn("cum", F.sum("g").over(run)).withColumn("drop", F.max("cum").over(run) - F.col("cum"))
+    blocks = inside.groupBy("block").agg(F.sum("g").alias("sum"), F.max("cum").alias("top"), F.min("cum").alias("low"), F.max("drop").alias("drop"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0.0))).withColumn("peak", F.max(F.col("start") + F.col("top")).over(before))
+    worst = blocks.agg(F.max(F.greatest("drop", F.col("peak") - F.col("start") - F.col("low"))).alias("max_drawdown"))
     figures = trades.agg(
         F.count("*").alias("n_trades"),
         F.avg(((F.col("g") > 0) & ~F.isnan("g")).cast("double")).alias("win_rate"),
         sharpe("g").alias("sharpe"),
         F.sum("g").alias("cum_return"),
-        F.max("drop").alias("max_drawdown"),
     )
-    return df.agg(F.count("*").alias("n_rows")).crossJoin(figures)  # two tables of one row
+    return df.agg(F.count("*").alias("n_rows")).crossJoin(figures).crossJoin(worst)  # tables of one row
 
 
 def with_signals(df: DataFrame, tau: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 
@@ -50,11 +50,16 @@ def clean(df: DataFrame, core: tuple[str, ...] = CORE) -> tuple[DataFrame, list[
     return renumber(df.fillna(0.0, numbers).fillna(0, [n for n in names if n not in numbers])), names
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """df with _n, the rows of its series: an aggregate joined back, so that no series has to be in one task."""
+    return df.join(df.groupBy(KEY).agg(F.count("*").alias("_n")), KEY).select(*df.columns, "_n")
+
+
 def time_split(df: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """df with part: train, val or test, by position."""
-    n = F.count("*").over(Window.partitionBy(KEY))
-    a, b = F.floor(n * F.lit(train)), F.floor(n * F.lit(val))
-    return df.withColumn("part", F.when(F.col("seq") < a, "train").when(F.col("seq") < a + b, "val").otherwise("test"))
+    a, b = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(val))
+    part = F.when(F.col("seq") < a, "train").when(F.col("seq") < a + b, "val").otherwise("test")
+    return _counted(df).withColumn("part", part).drop("_n")
 
 
 def time_folds(df: DataFrame, folds: int = 5) -> DataFrame:
@@ -62,10 +67,8 @@ def time_folds(df: DataFrame, folds: int = 5) -> DataFrame:
 
     Blocks of n // (folds + 1) rows at the end are test blocks; a fold trains on all rows before its block.
     """
-    n = F.count("*").over(Window.partitionBy(KEY))
-    size = F.floor(n / (folds + 1))
     fold = F.explode(F.sequence(F.lit(1), F.lit(folds)))
-    df = df.withColumn("_size", size).withColumn("_n", n).withColumn("fold", fold)
+    df = _counted(df).withColumn("_size", F.floor(F.col("_n") / (folds + 1))).withColumn("fold", fold)
     start = F.col("_n") - (folds + 1 - F.col("fold")) * F.col("_size")
     df = df.withColumn("_start", start).where(F.col("seq") < F.col("_start") + F.col("_size"))
     inside = F.col("seq") >= F.col("_start")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import FEATURES, features
+from ..operators.features import FEATURES, VARIANTS, features
 from ..sources.bars import tick_bars
 from . import oracle
 
@@ -36,14 +36,32 @@ def adf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(bars_of(spark, sf_dir), ["adf_pvalue_100"]).select("series_id", "seq", "adf_pvalue_100")
 
 
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features(bars_of(spark, sf_dir), VARIANTS).select("series_id", "seq", *VARIANTS))
+
+
+def constant_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that a window without any variation leaves undefined, on bars whose prices never change."""
+    bars = bars_of(spark, sf_dir).withColumns({c: F.lit(5.0) for c in ("open", "high", "low", "close")})
+    names = ["linear_reg_r2_20", "linear_reg_r2_50", "autocorr_1", "autocorr_10", "volume_price_corr", "entropy_30", "rolling_skew_30", "rsi_14"]
+    return rounded(features(bars, names).select("series_id", "seq", *names))
+
+
+def vol_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of volatility in a window that the table fills."""
+    return rounded(features(bars_of(spark, sf_dir), ["vol_percentile"], percentile_window=500).select("series_id", "seq", "vol_percentile"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"features_{name}": family(name) for name in FEATURES}
     out["features_volume_by_series"] = family("volume", "event_type")
     out["feature_adf_pvalue"] = adf
+    out |= {"feature_variants": variants, "features_of_constant_bars": constant_bars, "feature_vol_percentile": vol_percentile}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {f"features_{name}": getattr(oracle, name)() for name in FEATURES}
     out["features_volume_by_series"] = oracle.volume(oracle.SERIES_BARS)
+    out |= {"feature_variants": oracle.variants(), "features_of_constant_bars": oracle.constant_bars(), "feature_vol_percentile": oracle.vol_percentile(500)}
     return out

@@ -279,3 +279,33 @@ def session() -> str:
         "minutes_to_close": f"(CASE WHEN {h} < 8 THEN 480 - {now} WHEN {h} < 16 THEN 960 - {now} WHEN {h} < 21 THEN 1260 - {now} END)::DOUBLE",
     }
     return query([], columns, "b", (), {c for c in columns if c.startswith("is_")})
+
+
+def variants() -> str:
+    skew, kurt = f"(skewness(r) OVER w60 * {58 / math.sqrt(60 * 59)!r})", "(kurtosis_pop(r) OVER w60)"
+    columns = {
+        "lower_wick_ratio_raw": "least(open, close) / nullif(high - low, 0)",
+        "bar_return_2score": f"({mean('r', 20)}) / nullif({sd('r', 20)}, 0)",
+        "consecutive_up_int": "seq - max(CASE WHEN close > pc THEN NULL ELSE seq END) OVER u",
+        "consecutive_down_int": "seq - max(CASE WHEN close < pc THEN NULL ELSE seq END) OVER u",
+        "vol_contraction_strict": "CASE WHEN atr14 < 0.5 * atr50 THEN 1 ELSE 0 END",
+        "volume_sma_ratio_raw": f"volume / nullif({mean('volume', 20)}, 0)",
+        "jarque_bera_60": f"CASE WHEN count(r) OVER w60 = 60 THEN 10 * ({skew} ** 2 + {kurt} ** 2 / 4) END",
+    }
+    return query([SCANS], columns, "k", (20, 60), {"consecutive_up_int", "consecutive_down_int", "vol_contraction_strict"})
+
+
+def constant_bars() -> str:
+    """What the definitions say where nothing varies: a fit explains nothing, a correlation and a shape are undefined."""
+    none = {n: "NULL::DOUBLE" for n in ("autocorr_1", "autocorr_10", "volume_price_corr", "rolling_skew_30")}
+    zero = {"linear_reg_r2_20": 38, "linear_reg_r2_50": 98, "entropy_30": 30, "rsi_14": 14}
+    columns = none | {n: f"CASE WHEN seq >= {first} THEN 0.0::DOUBLE END" for n, first in zero.items()}
+    return f"WITH {BARS} SELECT series_id, seq, {', '.join(f'{x} AS {n}' for n, x in columns.items())} FROM bars"
+
+
+def vol_percentile(window: int) -> str:
+    """Ties count half."""
+    size = f"CASE WHEN count(atr14) OVER w{window} = {window} THEN list(atr14) OVER w{window} END"
+    pre = f"vp AS (SELECT *, {size} AS held FROM k {windows(window)})"
+    below, same = "len(list_filter(held, lambda x: x < atr14))", "len(list_filter(held, lambda x: x = atr14))"
+    return query([SCANS, pre], {"vol_percentile": f"({below} + ({same} + 1) / 2.0) / {window}"}, "vp", ())

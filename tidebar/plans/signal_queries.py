@@ -53,7 +53,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = features(bars_of(spark, sf_dir), [*CORE_NAMES, "price_vs_ema50", "vol_percentile", "rsi_7"])
+    table = features(bars_of(spark, sf_dir), [*CORE_NAMES, "price_vs_ema50", "vol_percentile", "rsi_7"]).persist()  # read by several jobs
     return P.clean(table)[0]
 
 
@@ -77,7 +77,7 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bars_of(spark, sf_dir).withColumn("y", F.col("seq") % 3)
-    got = P.sequences(df, ["open", "close"], 60, 7, "y")
+    got = P.sequences(df, ["open", "close"], 60, 1, "y")
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v[1].cast("double"))
     return rounded(got.select("seq", "y", F.size("x").cast("long").alias("n"), F.col("x")[0][0].cast("double").alias("first_open"), F.col("x")[59][1].cast("double").alias("last_close"), total.alias("closes")), 3)
 
@@ -200,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "scaler_params": f"{clean}, pr AS ({params}) SELECT feature, {r('median', 'median')}, {r('iqr', 'iqr')} FROM pr",
         "scaled": f"{clean}, pr AS ({params}) SELECT seq, {', '.join(r(f'''({n} - (SELECT median FROM pr WHERE feature = '{n}')) / (SELECT iqr FROM pr WHERE feature = '{n}')''', n) for n in scaled_names)} FROM cl",
         "sequences": f"""WITH {oracle.BARS}, q AS (SELECT seq, seq % 3 AS y, count(*) OVER w AS n, first_value(open) OVER w AS a, close AS b, sum(close::FLOAT::DOUBLE) OVER w AS c FROM bars WINDOW w AS (ORDER BY seq ROWS 59 PRECEDING))
-          SELECT seq, y, n, {r('a::FLOAT::DOUBLE', 'first_open', 3)}, {r('b::FLOAT::DOUBLE', 'last_close', 3)}, {r('c', 'closes', 3)} FROM q WHERE seq >= 59 AND (seq - 59) % 7 = 0""",
+          SELECT seq, y, n, {r('a::FLOAT::DOUBLE', 'first_open', 3)}, {r('b::FLOAT::DOUBLE', 'last_close', 3)}, {r('c', 'closes', 3)} FROM q WHERE seq >= 59""",
         "time_folds": f"""WITH {oracle.BARS}, f AS (SELECT seq, k::INTEGER AS fold, {n_bars} - (6 - k) * ({n_bars} // 6) AS st, {n_bars} // 6 AS size FROM bars, range(1, 6) t(k))
           SELECT fold, CASE WHEN seq >= st THEN 'test' ELSE 'train' END AS role, count(*) AS n, {bounds}, max(CASE WHEN seq >= st THEN seq - st END) AS last_in_fold FROM f WHERE seq < st + size GROUP BY ALL""",
         "signals": f"{predicted} SELECT seq, signal, {r('size::DOUBLE', 'size', 5)} FROM p",
