@@ -1,7 +1,9 @@
 """Corpus pipeline: classify, deduplicate, redact, mix and pack `documents`.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of the stage before, which are written as Parquet and
-read again. All but the last return the columns of `documents`.
+read again. All but the last return the columns of `documents`, and further columns too, whatever they are called.
+Null doc_ids, texts and sources are allowed everywhere, a null text counts as an empty one, and an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -14,30 +16,33 @@ from tidebar.llm.queries import TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. Each row is judged by its text alone, repeated rows alike."""
     workers_find_us(spark)
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near duplicates: the one with the least doc_id, null last; of repeated rows one stays.
+
+    Texts without words are no duplicates: all of them stay.
+    """
     workers_find_us(spark)
     return jaccard_join.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the secrets in them."""
+    """All rows, without the secrets in their texts; null and empty texts stay as they are."""
     workers_find_us(spark)
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: rows one by one, repeated or not; those without words go."""
     return mixing.mix_sources(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences; an empty text is its end mark alone."""
     workers_find_us(spark)
     return packing.pack(docs, TOKENIZER)
 
