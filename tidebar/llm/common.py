@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +16,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Set for Python workers, which live on between tasks: memory that is free goes back to the system.
+RETURN_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2"}
+#: Rows of a file that in_batches() counts as one.
+BATCH_ROWS = 1024
+#: Rows of a batch that Spark hands to Python; texts can be long.
+BATCH = 1024
 MASK = (1 << 64) - 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidebar-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset and everything runs in one process, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = os.environ.setdefault("TIDEBAR_TEST_CHECKPOINTS", tempfile.mkdtemp(prefix="tidebar-"))
-        path = "file://" + path
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _local_dir()
     return path.rstrip("/")
 
 
@@ -49,11 +65,40 @@ def forget(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Kept tables of one computation, forgotten at its end."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.frames.append(keep(df))
+        return self.frames[-1]
+
+    def __exit__(self, *failed) -> None:
+        forget(*self.frames)
+
+
 def workers_find_us(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver has it, unless it is installed."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), REPO) if x)
+    """Send this package to the Python workers, once, and let Spark hand them small batches unless the session says otherwise."""
+    sc, size = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(BATCH))
+    if not getattr(sc, "_tidebar_sent", False):
+        for name, value in RETURN_MEMORY.items():
+            sc.environment.setdefault(name, value)
+        path = os.path.join(tempfile.mkdtemp(prefix="tidebar-package-"), "tidebar_package.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(PACKAGE):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        at = os.path.join(folder, name)
+                        out.write(at, os.path.relpath(at, os.path.dirname(PACKAGE)))
+        sc.addPyFile(path)
+        sc._tidebar_sent = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +118,12 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """word (bytes) -> its 64-bit hash as 8 raw bytes; emptied when it has grown to `limit` words."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 150_000, seed: int = 0):
         super().__init__()
-        self.limit = limit
+        self.limit, self.seed = limit, seed
 
     def __missing__(self, word: bytes) -> bytes:
-        value = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
+        value = xxhash.xxh3_64_intdigest(word, self.seed).to_bytes(8, "little")
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -117,11 +162,30 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def in_batches(docs: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, text, bid (of a batch of rows), row (of the row in its batch's file), and more columns: {new name: name}.
+
+    Tables that are anything but a plain scan of files are written first, so that file and row number name a row.
+    """
+    wanted = [F.col("doc_id"), F.col("text"), *(F.col(f"`{c}`").alias(n) for n, c in (more or {}).items())]
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        docs = docs.select(*wanted, F.col("_metadata").alias("_where"))
+    else:
+        docs = keep(docs.select(*wanted))
+        docs = docs.select(*docs.columns, F.col("_metadata").alias("_where"))
+    batch = F.xxhash64("_where.file_path", F.floor(F.col("_where.row_index") / BATCH_ROWS))
+    return docs.select("doc_id", "text", batch.alias("bid"), F.col("_where.row_index").alias("row"), *(more or {}))
+
+
+#: Vectors that one task of sum_blobs adds up in the rounds after the first.
+FAN = 32
+
+
 def sum_blobs(df: DataFrame, width: int) -> np.ndarray:
     """Sum of a table of binary rows (column blob), each `width` doubles.
 
-    Partitions stream their rows into one vector each, about the square root of their number of tasks sums those,
-    and one task the rest, so no task ever holds more than one vector and a batch.
+    Partitions stream their rows into one vector each; rounds of FAN vectors a task follow until one is left, so no
+    task, and not the driver either, ever holds more than one vector and a batch.
     """
 
     def total(batches):
@@ -131,11 +195,10 @@ def sum_blobs(df: DataFrame, width: int) -> np.ndarray:
                 acc += np.frombuffer(blob, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], type=pa.binary())], ["blob"])
 
+    some = df.rdd.getNumPartitions()
     sums = df.mapInArrow(total, "blob binary")
-    some = max(1, round(sums.rdd.getNumPartitions() ** 0.5))
-    if some > 1:
+    while some > 1:
+        some = math.ceil(some / FAN)
         sums = sums.repartition(some).mapInArrow(total, "blob binary")
-    out = np.zeros(width)
-    for row in sums.collect():  # one vector of a fixed width a task
-        out += np.frombuffer(row["blob"], dtype=np.float64)
-    return out
+    got = sums.collect()  # one vector of a fixed width; none from a table without partitions
+    return np.frombuffer(got[0]["blob"], dtype=np.float64).copy() if got else np.zeros(width)
