@@ -11,7 +11,7 @@ that length. So of two equal windows, each has a block of the other's grid at on
 Documents travel in batches of rows, named by file and row number, so that a lost task makes the same batches
 again. A batch sends each distinct hash once, as packed arrays by hash bucket; a passage in a third of all documents is
 thus sent once a batch, and the answer goes back to batches. Anchors use short hashes, as a false one costs only
-time; windows are compared by 64-bit hashes.
+time; windows are compared by 128 bits, two hashes of their words that are made from different word hashes.
 """
 
 from __future__ import annotations
@@ -21,14 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, keep, partitions, raw_texts
+from .common import WordHashes, grams, in_batches, keep, partitions, raw_texts
 
-#: Rows of a file that form a batch.
-BATCH_ROWS = 1024
 LAST = np.iinfo(np.int64).max
 
 PROBE = "bid long, bucket int, blob binary"
@@ -38,20 +34,6 @@ OUT = "kind int, bid long, bucket int, blob binary, doc_id long, n_words long, n
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def in_batches(docs: DataFrame, **more: str) -> DataFrame:
-    """doc_id, text, bid (of a batch of rows), row (of the row in its batch's file), and more columns by new names.
-
-    Documents that are not read from files are written first.
-    """
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        docs = keep(docs)
-    batch = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BATCH_ROWS))
-    others = [F.col(f"`{c}`").alias(n) for n, c in more.items()]
-    return docs.select("doc_id", "text", batch.alias("bid"), F.col("_metadata.row_index").alias("row"), *others)
-
-
 def by_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Runs of rows with the same bid."""
     bid = batch.column("bid").to_numpy()
@@ -75,7 +57,7 @@ def short(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     fields = [pa.field(n, kinds[t]) for n, t in (c.split() for c in schema.split(", "))]
     columns = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
@@ -126,6 +108,38 @@ def _answer_probes(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(HIT, rows)])
 
 
+class Lanes:
+    """Windows of a text as two 64-bit hashes each, (n, 2)."""
+
+    def __init__(self, window: int):
+        self.window, self.low, self.high = window, WordHashes(), WordHashes(seed=1)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.stack([grams(self.low.of(words), self.window), grams(self.high.of(words), self.window)], axis=1)
+
+
+def _firsts(w: np.ndarray) -> np.ndarray:
+    """Whether each row of w is the first of its kind."""
+    order = np.lexsort((np.arange(len(w)), w[:, 1], w[:, 0]))
+    out = np.zeros(len(w), dtype=bool)
+    if len(w):
+        ordered = w[order]
+        out[order[np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(1)))]] = True
+    return out
+
+
+def _among(w: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each row of w is a row of known."""
+    both = np.concatenate([known, w])
+    order = np.lexsort((np.arange(len(both)), both[:, 1], both[:, 0]))
+    ordered = both[order]
+    start = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(1))) if len(both) else np.empty(0, bool)
+    head = order[np.flatnonzero(start)][np.cumsum(start) - 1]  # of each row's kind the first: one of known, if there
+    out = np.zeros(len(both), dtype=bool)
+    out[order] = head < len(known)
+    return out[len(known) :]
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -162,7 +176,7 @@ def _windows(window: int, block: int, bits: int):
     """
 
     def run(packed: pa.Table, hits: pa.Table) -> pa.Table:
-        hashes = WordHashes()
+        lanes = Lanes(window)
         anchors = np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in hits.column("blob").to_pylist()] or [np.empty(0, np.uint64)]))
         rows: list[tuple] = []
         left: list[tuple] = []
@@ -170,29 +184,28 @@ def _windows(window: int, block: int, bits: int):
         bid = packed.column("bid")[0].as_py() if packed.num_rows else None
         for doc, key, text in unpack_rows(packed.column("docs").to_pylist()):
             words = text.split()
-            h = hashes.of(words)
-            w = grams(h, window)
+            n = max(0, len(words) - window + 1)
             at = np.empty(0, np.int64)
-            if len(w) and len(anchors):
-                g = grams(h, block)
+            if n and len(anchors):
+                g = grams(lanes.low.of(words), block)
                 code = (g >> np.uint64(64 - bits)) << np.uint64(32) | (g << np.uint64(bits)) >> np.uint64(34)
                 place = np.searchsorted(anchors, code)
                 place[place == len(anchors)] = 0
                 hit = anchors[place] == code
-                own = -(-np.arange(len(w)) // block) * block  # the first grid block in each window, and the last
-                at = np.flatnonzero(hit[own] & hit[(np.arange(len(w)) + window - block) // block * block])
+                own = -(-np.arange(n) // block) * block  # the first grid block in each window, and the last
+                at = np.flatnonzero(hit[own] & hit[(np.arange(n) + window - block) // block * block])
             if len(at):
-                found.append((w[at], np.full(len(at), key)))
+                found.append((lanes(words)[at], np.full(len(at), key)))
                 left.append((doc, len(left), text))
             else:
                 rows.append((0, None, None, None, doc, len(words), 0, _sha(words)))
         if found:
             h, doc = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((doc, h))
+            order = np.lexsort((doc, h[:, 1], h[:, 0]))
             h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]).any(1))))
             h, doc = h[first], doc[first]
-            rows += [(2, bid, k, h[a:b].tobytes() + doc[a:b].tobytes(), None, None, None, None) for k, a, b in split_by_top_bits(h, bits)]
+            rows += [(2, bid, k, h[a:b].tobytes() + doc[a:b].tobytes(), None, None, None, None) for k, a, b in split_by_top_bits(h[:, 0], bits)]
             rows.append((1, bid, None, pack_rows(pa.table(dict(zip(("doc_id", "row", "text"), map(pa.array, zip(*left)))))), None, None, None, None))
         return pa.Table.from_batches([_rows(OUT, rows)])
 
@@ -202,13 +215,13 @@ def _windows(window: int, block: int, bits: int):
 def _answer_windows(key: tuple, table: pa.Table) -> pa.Table:
     """To each batch those of its windows that start earlier in another one. Equal doc_ids go by batch."""
     blobs, bids = table.column("blob").to_pylist(), np.array(table.column("bid").to_pylist(), dtype=np.int64)
-    sizes = [len(b) // 16 for b in blobs]
-    h = np.concatenate([np.frombuffer(b, dtype=np.uint64, count=n) for b, n in zip(blobs, sizes)])
-    doc = np.concatenate([np.frombuffer(b, dtype=np.int64, offset=8 * n) for b, n in zip(blobs, sizes)])
+    sizes = [len(b) // 24 for b in blobs]
+    h = np.concatenate([np.frombuffer(b, dtype=np.uint64, count=2 * n).reshape(-1, 2) for b, n in zip(blobs, sizes)])
+    doc = np.concatenate([np.frombuffer(b, dtype=np.int64, offset=16 * n) for b, n in zip(blobs, sizes)])
     batch = np.repeat(np.arange(len(blobs)), sizes)
-    order = np.lexsort((bids[batch], doc, h))
+    order = np.lexsort((bids[batch], doc, h[:, 1], h[:, 0]))
     h, batch = h[order], batch[order]
-    late = np.concatenate(([False], h[1:] == h[:-1]))
+    late = np.concatenate(([False], (h[1:] == h[:-1]).all(1)))
     h, batch = h[late], batch[late]
     order = np.argsort(batch, kind="stable")
     h, batch = h[order], batch[order]
@@ -220,18 +233,14 @@ def _cut(window: int):
     """Words under a window that starts earlier: in another batch, as told, or before in this one."""
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes = WordHashes()
-        late = np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in answers.column("blob").to_pylist()] or [np.empty(0, np.uint64)]))
+        lanes = Lanes(window)
+        late = np.concatenate([np.frombuffer(b, dtype=np.uint64).reshape(-1, 2) for b in answers.column("blob").to_pylist()] or [np.empty((0, 2), np.uint64)])
         docs = [(doc, text.split()) for doc, _, text in unpack_rows(packed.column("blob").to_pylist())]
-        per = [grams(hashes.of(words), window) for _, words in docs]
-        w = np.concatenate(per) if per else np.empty(0, np.uint64)
-        _, first = np.unique(w, return_index=True)
-        repeated = np.ones(len(w), dtype=bool)
-        repeated[first] = False
+        per = [lanes(words) for _, words in docs]
+        w = np.concatenate(per) if per else np.empty((0, 2), np.uint64)
+        repeated = ~_firsts(w)
         if len(late):
-            place = np.searchsorted(late, w)
-            place[place == len(late)] = 0
-            repeated |= late[place] == w
+            repeated |= _among(w, late)
         rows, at = [], 0
         for (doc, words), mine in zip(docs, per):
             starts = np.flatnonzero(repeated[at : at + len(mine)])
