@@ -10,6 +10,7 @@ the pieces of their length. Work on the driver depends on `size` alone.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,8 @@ from .common import keep, only
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PIECE_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
-#: Rows of a length are ranked within this many salts, so that a common length is not one task's.
-SALTS = 256
+#: Pieces of a length that are ranked in one task at about the most: common lengths are cut into as many salts as it takes.
+RANKED = 50_000
 
 
 class Remembered(dict):
@@ -247,11 +248,12 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     columns are ignored; an empty table gives no rows. Sequences hold their pieces without gaps.
     """
     pieces = keep(token_pieces(docs, tokenizer_path, size, end_id))
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a number for each length
+    salts = F.array(*[F.lit(math.ceil(histogram.get(n, 0) / RANKED) or 1) for n in range(1, size + 1)])
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(salts, F.col("length").cast("int")))
     counts = pieces.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
 
     ranges: dict[int, list[tuple[int, int, int, int]]] = {}
     used = dict.fromkeys(histogram, 0)
