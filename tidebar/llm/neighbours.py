@@ -2,9 +2,10 @@
 
 On a bounded sample the driver builds a nearest-neighbour graph, splits it into balanced parts that cut few edges,
 and trains a small network to tell a vector's part. The network then files every row under its most probable part
-and sends each query to its several most probable ones, as many as it takes for the sample's own neighbours to be
-found at `recall`. Rows of a part are searched exactly. Parts and the queries sent to them are cut into blocks of
-bounded size by a hash of the id, so that neither a hot part nor a very common vector is one task's.
+and sends each query to its several most probable ones: as many as it takes for the neighbours of sample rows that
+it was not trained on to be found at `recall`. Rows of a part are searched exactly. Parts and the queries sent to them are
+cut into blocks of bounded size by a hash of the id, so that neither a hot part nor a very common vector is one
+task's.
 """
 
 from __future__ import annotations
@@ -49,14 +50,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest_in(x: np.ndarray, k: int) -> np.ndarray:
-    """k nearest others of each row of x."""
-    k = min(k, len(x) - 1)
-    out = np.empty((len(x), k), dtype=np.int64)
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
-        s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
-        out[at : at + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+def nearest_in(x: np.ndarray, k: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """k nearest others in x of its rows `asked`, of all if none are named."""
+    k, x = min(k, len(x) - 1), x.astype(np.float32)
+    asked = np.arange(len(x)) if asked is None else asked
+    out = np.empty((len(asked), k), dtype=np.int64)
+    for at in range(0, len(asked), 256):
+        own = asked[at : at + 256]
+        s = x[own] @ x.T
+        s[np.arange(len(own)), own] = -np.inf
+        out[at : at + 256] = np.argpartition(s, len(x) - k, axis=1)[:, len(x) - k :]
     return out
 
 
@@ -82,12 +85,17 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int, rn
         part = new
     room = math.ceil(len(x) / parts * slack)
     rows = np.repeat(np.arange(len(x)), graph.shape[1])
+    ends = np.concatenate([rows, graph.ravel()]), np.concatenate([graph.ravel(), rows])
     for _ in range(rounds):
-        ties = np.zeros((len(x), parts))
-        np.add.at(ties, (rows, part[graph.ravel()]), 1)
-        np.add.at(ties, (graph.ravel(), part[rows]), 1)
-        want = ties.argmax(1)
-        gain = ties[np.arange(len(x)), want] - ties[np.arange(len(x)), part]
+        # ties of each vertex to each part that it has any to
+        key, ties = np.unique(ends[0] * parts + part[ends[1]], return_counts=True)
+        holder = key // parts
+        order = np.lexsort((key, -ties, holder))
+        first = order[np.searchsorted(holder[order], np.arange(len(x)))]
+        want, gain = key[first] % parts, ties[first].astype(np.float64)
+        own = np.searchsorted(key, np.arange(len(x)) * parts + part)
+        own[own == len(key)] = 0
+        gain -= np.where(key[own] == np.arange(len(x)) * parts + part, ties[own], 0)
         size = np.bincount(part, minlength=parts)
         for i in np.argsort(-gain, kind="stable"):
             if gain[i] <= 0:
@@ -125,20 +133,27 @@ def train(x: np.ndarray, part: np.ndarray, parts: int, rng: np.random.Generator,
 
 
 def learn(sample: np.ndarray, parts: int, k: int, recall: float, seed: int = 11) -> Router:
-    """A router over the sample (unit vectors); without enough of it, one part."""
+    """A router over the sample (unit vectors); parts is the power of two below, and four distinct rows a part at least.
+
+    A fifth of the rows (4,096 at most) is left out of graph and training; their neighbours tell the number of probes.
+    """
     rng = np.random.default_rng(seed)
     x = np.unique(sample, axis=0)
-    if parts < 2 or len(x) < 4 * parts:
+    parts = 2 ** int(math.log2(max(1, min(parts, len(x) // 4))))
+    if parts == 1:
         d = sample.shape[1]
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = nearest_in(x, 10)
-    router = train(x, balanced_parts(x, graph, parts, 12, rng), parts, rng)
-    scores = router.scores(x)
-    filed = scores.argmax(1)
-    ranks = np.empty_like(scores, dtype=np.int64)
-    np.put_along_axis(ranks, np.argsort(-scores, axis=1), np.arange(parts)[None, :].repeat(len(x), 0), 1)
-    near = nearest_in(x, k)
-    needed = np.sort(ranks[np.arange(len(x))[:, None], filed[near]].ravel())
+    order = rng.permutation(len(x))
+    asked, fitted = np.split(order, [min(4096, len(x) // 5)])
+    router = train(x[fitted], balanced_parts(x[fitted], nearest_in(x[fitted], 10), parts, 12, rng), parts, rng)
+    filed = np.concatenate([router.scores(x[at : at + 4096]).argmax(1) for at in range(0, len(x), 4096)])
+    needed = []
+    for at in range(0, len(asked), 1024):
+        rows = asked[at : at + 1024]
+        scores = router.scores(x[rows])
+        for near in nearest_in(x, k, rows).T:
+            needed.append((scores > scores[np.arange(len(rows)), filed[near]][:, None]).sum(1))
+    needed = np.sort(np.concatenate(needed))
     router.probes = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1
     return router
 
@@ -206,21 +221,18 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", v.alias("embedding")).where(fine)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, most_sample: int = 65_536) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.95, parts: int = 64, most_sample: int = 32_768) -> DataFrame:
     """k nearest found of every row whose vec_id is divisible by `every`, among all other rows.
 
     Returns query_id, rank (from 1), vec_id, score (cosine in double precision), nearest first, ties to the smaller
     vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
     vec_id and vectors of another length than most of the sample have. Rows with the same vec_id are one candidate,
-    by its best score. The sample is the rows with the least hashes, 64 a part and 4,096 at least, `most_sample`
-    at the most; parts are about an eighth of the square root of the row count. Other columns are ignored; an
-    empty table gives no rows.
+    by its best score. The sample is the rows with the least hashes, `most_sample` at the most; `parts` are made at
+    every size of the table (fewer only where the sample has fewer than four distinct vectors for each). Other columns
+    are ignored; an empty table gives no rows.
     """
     rows = usable(vectors)
-    n = rows.count()
-    parts = 2 ** max(0, round(math.log2(max(1.0, math.sqrt(n) / 8)))) if n >= 2048 else 1
-    parts = min(parts, most_sample // 64)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(most_sample, max(4096, 64 * parts))).collect()  # bounded by most_sample
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_sample).collect()  # bounded by most_sample
     sizes = [len(r["embedding"]) for r in sample]
     dims = max(sorted(set(sizes)), key=sizes.count) if sizes else 1
     x = np.array([r["embedding"] for r in sample if len(r["embedding"]) == dims]).reshape(-1, dims)

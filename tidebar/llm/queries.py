@@ -68,7 +68,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=50, k=5, parts=64)
 
 
 URL_RULES = [
