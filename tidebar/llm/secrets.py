@@ -2,9 +2,11 @@
 
 Strong secrets are reported by themselves. Access identifiers, endpoints and weak secrets are only candidates;
 within a scope (a stretch of text between blank lines) their intervals, widened by `reach` code points, are
-joined, and a candidate is reported only when complementary parts co-occur: a weak secret beside an identifier,
-an access id or an endpoint; an identifier or endpoint beside a secret, strong or weak. Candidates of a kind
-don't overlap, so the join is one binary search for each, and no pairs are made.
+joined, and a candidate is reported only when complementary parts of a credential co-occur: a weak secret beside an
+identifier, an access id or an endpoint; an identifier or endpoint beside an assigned or weak secret. A long
+token without a name is weak beside an identifier or access id only. A hexadecimal number, which can be a commit or a
+digest, makes nothing else a credential, and a web address is an endpoint only beside a secret that has a name.
+Candidates of a kind don't overlap, so the join is one binary search for each, and no pairs are made.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so shorter ones may as well not match
 ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20"'<>]{4,})|(?:(?<![A-Za-z0-9])(?:host|hostname|endpoint|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]{2,5})?)""", re.I | re.A)
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user|username|user_?id|login|account|client_?id|access_?key_?id|email)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A)
-WEAK = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|pwd|pass|passphrase|secret|secret_?key|client_?secret|token|auth|api_?key|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.I | re.A)
+WEAK = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|pwd|pass|passphrase|secret|secret_?(?:access_?)?key|client_?secret|token|auth|api_?key|private_?key|account_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.I | re.A)
 #: user:password@ of a URL (a password may hold @), and parameters of a URL that are named as secrets are.
 LOGIN = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://([^\x00-\x20"'<>/?#:@]*):([^\x00-\x20"'<>/?#]+)@""", re.I | re.A)
 PARAMETER = re.compile(r"""[?&;#]((?:[a-z0-9_.-]{0,40}[_.-])?(?:password|passwd|pwd|pass|passphrase|secret|secret[_-]?key|client[_-]?secret|token|auth|api[_-]?key|private[_-]?key|credential)=[^\x00-\x20"'<>&;#]{4,})""", re.I | re.A)
@@ -92,14 +95,25 @@ def _url_parts(start: int, end: int, text: str) -> tuple[list[tuple[int, int]],
     return [m.span(1) for m in logins if m[1]], _clear(secret, [])
 
 
-def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
-    """Candidates whose complementary parts are near them in their scope."""
+@dataclass
+class Parts:
+    """Candidates of a text by what they can be part of, each kind sorted and free of overlaps."""
+
+    assigned: list[tuple[int, int]]
+    access: list[tuple[int, int]]
+    identifiers: list[tuple[int, int]]
+    endpoints: list[tuple[int, int]]
+    named: list[tuple[int, int]]  # weak secrets with a name, or in a URL
+    loose: list[tuple[int, int]]  # weak secrets without
+
+
+def candidates(text: str, base: list[Span]) -> Parts | None:
+    """Parts of credentials in a text with these base spans; None if they can't make a pair."""
     low = text.lower()
-    strong = _flat([(s, e) for k, s, e in base if k != "access"])
     covered = _flat([(s, e) for _, s, e in base])
     weak_word = any(w in low for w in WEAK_WORDS)
     if not base and not weak_word and "://" not in low and ":" not in low and "=" not in low:
-        return []
+        return None
     places = [m.span() for m in ENDPOINT.finditer(text)]
     users: list[tuple[int, int]] = []
     in_urls: list[tuple[int, int]] = []
@@ -123,32 +137,45 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
             cut = min(e, starts[k]) if k < len(starts) else e
             places[i] = (s, cut - (s < cut < e and text[cut - 1] in "?&;#"))
     endpoints = _clear([(s, e) for s, e in places if s < e], taken)
-    if not identifiers and not endpoints and not any(k == "access" for k, _, _ in base):
-        return []
+    access = _flat([(s, e) for k, s, e in base if k == "access"])
+    if not identifiers and not endpoints and not access:
+        return None
     found = [m.span() for m in WEAK.finditer(text)] if weak_word else []
-    weak = in_urls + _clear(found, _flat(taken + endpoints + list(split)))
-    weak = sorted(weak + _clear(_loose(text), _flat(taken + endpoints + list(split) + weak)))
-    if not weak and not strong:
-        return []
+    named = sorted(in_urls + _clear(found, _flat(taken + endpoints + list(split))))
+    loose = _clear(_loose(text), _flat(taken + endpoints + list(split) + named)) if identifiers or access else []
+    assigned = _flat([(s, e) for k, s, e in base if k == "assign"])
+    return Parts(assigned, access, identifiers, endpoints, named, loose) if named or loose or assigned else None
+
 
-    cuts = [m.end() for m in BLANK.finditer(text)]
+def link(parts: Parts, cuts: list[int], reach: int) -> list[Span]:
+    """The interval join, scope by scope; cuts are where scopes begin."""
     scopes: dict[int, dict[str, list[tuple[int, int]]]] = {}
-    parts = {"strong": strong, "access": [(s, e) for k, s, e in base if k == "access"], "identifier": identifiers, "endpoint": endpoints, "weak": weak}
-    for kind, spans in parts.items():
+    for kind, spans in vars(parts).items():
         for s, e in spans:
             scopes.setdefault(bisect_right(cuts, s), {}).setdefault(kind, []).append((s, e))
     out: list[Span] = []
+
+    def beside(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        others = _flat(others)
+        starts = [s for s, _ in others]
+        return [x for x in spans if _near(x, others, starts, reach)]
+
     for here in scopes.values():
-        public = _flat(here.get("identifier", []) + here.get("endpoint", []) + here.get("access", []))
-        starts = [s for s, _ in public]
-        held = [x for x in here.get("weak", []) if _near(x, public, starts, reach)]
-        out += [("weak", *x) for x in held]
-        private = _flat(here.get("strong", []) + held)
-        starts = [s for s, _ in private]
-        out += [(kind, *x) for kind in ("identifier", "endpoint") for x in here.get(kind, []) if _near(x, private, starts, reach)]
+        assigned, access, identifiers, endpoints, named, loose = (here.get(k, []) for k in vars(parts))
+        named = beside(named, identifiers + access + endpoints)
+        loose = beside(loose, identifiers + access)
+        out += [("weak", *x) for x in named + loose]
+        out += [("identifier", *x) for x in beside(identifiers, assigned + named + loose)]
+        out += [("endpoint", *x) for x in beside(endpoints, assigned + named)]
     return out
 
 
+def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
+    """Candidates whose complementary parts are near them in their scope."""
+    parts = candidates(text, base)
+    return link(parts, [m.end() for m in BLANK.finditer(text)], reach) if parts else []
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], ORDER[x[0]], x[2])))
 
@@ -179,9 +206,10 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
 
 
 def redact(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFrame:
-    """docs with every span that scan() reports replaced by `mask` in text; n_chars, if there, follows.
+    """docs with every secret that scan() reports replaced by `mask` in text; n_chars, if there, follows.
 
-    Null texts stay null; all rows and columns are kept.
+    Secrets are all kinds but identifiers and endpoints, which stay readable. Null texts stay null, empty ones empty;
+    all rows and columns are kept, repeated rows too, whatever the columns are called; an empty table gives no rows.
     """
     names = docs.columns
     place = names.index("text")
@@ -190,7 +218,7 @@ def redact(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFra
         if not text:
             return text
         base = base_spans(text)
-        spans = _flat([(s, e) for _, s, e in base + linked_spans(text, base, reach)])
+        spans = _flat([(s, e) for k, s, e in base + linked_spans(text, base, reach) if k not in ("identifier", "endpoint")])
         if not spans:
             return text
         out, at = [], 0
