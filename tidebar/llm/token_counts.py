@@ -1,8 +1,10 @@
 """Token counts by trie-shared dynamic programming over a unigram vocabulary (operator 10).
 
-Distinct pre-tokens of a batch, those not yet counted, are walked in sorted order, which is a depth-first walk of
-their trie: forward scores on the path from the root are kept, and each node's score is computed once for all
-pre-tokens below it. Terminal counts are stored by pre-token and summed over each document's pre-tokens.
+A worker keeps a trie of the pre-tokens it has met: a node for each prefix, with the forward score of its best
+segmentation, and terminal counts where a pre-token ends. Distinct pre-tokens of a slice that have no terminal are
+inserted in sorted order, which walks the trie depth first: scores on the path from the root are at hand, and a node's
+score is computed once for all pre-tokens below it, whichever slice or task of the worker brings them. Terminal counts
+are summed over each document's pre-tokens.
 """
 
 from __future__ import annotations
@@ -28,56 +30,74 @@ def zipf_vocabulary(path: str) -> Vocabulary:
     return {piece: -round(1e6 * math.log(rank + 1)) for piece, rank in ranks.items()}
 
 
+#: A score carries the number of pieces in its low bits, so that the larger of two has the higher sum, then fewer pieces.
+SHIFT = 32
+
+
 class TrieCounter:
-    """Number of pieces in the best segmentation of a pre-token: highest score, then fewest pieces."""
+    """Number of pieces in the best segmentation of a pre-token: highest score, then fewest pieces.
+
+    The trie holds `limit` nodes at the most, none deeper than `deepest` bytes; when it is full it begins anew. What
+    lies deeper is computed on the path and forgotten, so long pre-tokens cost time alone.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 600_000):
-        self.vocabulary = vocabulary
-        self.counts: dict[bytes, int] = {}
-        self.limit = limit
+    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000, deepest: int = 48):
+        self.limit, self.deepest = limit, deepest
+        self.nodes: dict[bytes, int | None] = {}
+        self.terminals: dict[bytes, int] = {}
+        self.worth = {piece: (score << SHIFT) - 1 for piece, score in vocabulary.items()}
         #: lengths of pieces by their last byte, and of those two and more bytes long by their last two
         lengths: dict[bytes, set[int]] = {}
         for piece in vocabulary:
             lengths.setdefault(piece[-2:], set()).add(len(piece))
         self.lengths = {end: sorted(n) for end, n in lengths.items()}
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> dict[bytes, int]:
         """Counts of sorted distinct pre-tokens."""
-        score, vocabulary, lengths = [0], self.vocabulary, self.lengths
-        pieces, before = [0], b""
+        path: list[int | None] = [0]
+        worth, lengths, nodes, deepest, before, out = self.worth, self.lengths, self.nodes, self.deepest, b"", {}
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del score[shared + 1 :], pieces[shared + 1 :]
+            del path[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best = best_n = None
-                one = vocabulary.get(word[end - 1 : end])
-                if one is not None and score[end - 1] is not None:
-                    best, best_n = score[end - 1] + one, pieces[end - 1] + 1
+                if end <= deepest:
+                    prefix = word[:end]
+                    if prefix in nodes:
+                        path.append(nodes[prefix])
+                        continue
+                best = worth.get(word[end - 1 : end])
+                if best is not None:
+                    best = None if path[end - 1] is None else best + path[end - 1]
                 if end > 1:
                     for n in lengths.get(word[end - 2 : end], ()):
                         if n > end:
                             break
-                        s = vocabulary.get(word[end - n : end])
-                        if s is not None and score[end - n] is not None:
-                            s += score[end - n]
-                            if best is None or s > best or (s == best and pieces[end - n] + 1 < best_n):
-                                best, best_n = s, pieces[end - n] + 1
-                score.append(best)
-                pieces.append(best_n)
-            if score[-1] is None:
+                        s = worth.get(word[end - n : end])
+                        if s is not None and path[end - n] is not None:
+                            s += path[end - n]
+                            if best is None or s > best:
+                                best = s
+                path.append(best)
+                if end <= deepest:
+                    nodes[prefix] = best
+            if path[-1] is None:
                 raise ValueError("the vocabulary lacks a byte")
-            self.counts[word] = pieces[-1]
+            out[word] = -path[-1] & ((1 << SHIFT) - 1)
             before = word
+        return out
 
     def documents(self, split: list[list[bytes]]) -> list[int]:
-        new = set(chain.from_iterable(split)) - self.counts.keys()
-        if len(self.counts) + len(new) > self.limit:
-            self.counts = {}
-            new = set(chain.from_iterable(split))
-        self.learn(sorted(new))
-        get = self.counts.__getitem__
+        """Number of pieces of each document, given as its pre-tokens."""
+        if len(self.nodes) > self.limit:
+            self.nodes.clear()
+            self.terminals.clear()
+        new = set(chain.from_iterable(split)) - self.terminals.keys()
+        counts = self.learn(sorted(new))
+        deep = {w: counts.pop(w) for w in new if len(w) > self.deepest}
+        self.terminals.update(counts)
+        get = self.terminals.__getitem__ if not deep else lambda w: deep[w] if w in deep else self.terminals[w]
         return [sum(map(get, words)) for words in split]
 
 
@@ -89,7 +109,7 @@ def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     Pre-tokens are `[^\\x20\\x09-\\x0D]+`, as UTF-8 behind one space byte. Null and empty texts have none; a null
     doc_id stays null; repeated rows are counted once each; other columns are ignored; an empty table gives no
-    rows. Documents are counted where they are read: no shuffle, and a bounded memory of pre-tokens for a worker.
+    rows. Documents are counted where they are read: no shuffle, and a trie of bounded size for a worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
