@@ -187,7 +187,10 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
-    """Rows of docs, all columns, that classify() would predict as 1; judged where they are read, without a shuffle of texts."""
+    """Rows of docs, all columns, that classify() would predict as 1; judged where they are read, without a shuffle of texts.
+
+    What classify() says of labels, nulls, empty texts, repeated rows, clashing names and empty tables holds here too.
+    """
     model = learn(document_statistics(docs), labels, folds)
     place = docs.columns.index("text")
 
