@@ -5,7 +5,6 @@ A stretch of a series is one pass of numpy over all its windows at once, as view
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np

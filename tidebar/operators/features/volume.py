@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.frames import corr, finite, full, lag, mean, ratio, rows, sd, so_far
+from ...functions.frames import corr, finite, lag, mean, ratio, rows, sd, so_far
 
 c = F.col
 
