@@ -161,6 +161,18 @@ def test_a_feature_of_ones_own(spark):
         register("rsi_14", "momentum", lambda: F.lit(1))
 
 
+def test_a_feature_that_fails_leaves_the_others(spark):
+    register("broken", "momentum", lambda: F.col("no_such_column"))
+    try:
+        df = bars(spark, walk(40))
+        got = table(features(df, ["broken", "rsi_14"], on_error="null"), "broken", "rsi_14")
+        assert got[30][0] is None and got[30][1] is not None
+        with pytest.raises(Exception, match="no_such_column"):
+            features(df, ["broken"]).collect()
+    finally:
+        registry.CUSTOM.clear()
+
+
 def test_rolling_percentile(spark):
     values = [3.0, 1.0, 2.0, 2.0, None, 5.0, 4.0, 4.0, 1.0]
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "series_id string, seq long, x double")

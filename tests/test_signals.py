@@ -11,7 +11,7 @@ from tidebar.operators import labels as L
 from tidebar.operators import models as M
 from tidebar.operators import prepare as P
 from tidebar.operators.features import features
-from tidebar.plans.pipeline import Config, Trained, run_inference, run_train, run_walk_forward
+from tidebar.plans.pipeline import Config, Trained, extract_timeframes, run_inference, run_train, run_walk_forward, training_history
 from tidebar.plans.signal_queries import QUERIES
 
 from .test_features import bars, table, walk
@@ -103,6 +103,20 @@ def test_gate_and_filter_differ_at_the_threshold(spark):
     assert [tuple(r) for r in got] == [(2, False), (1, True), (1, False)]
 
 
+def test_trades_of_the_plain_filter(spark):
+    df = spark.createDataFrame([(1, 2, 0.9, 0.5), (2, 0, 0.7, 0.25), (3, 2, 0.66, 1.0), (4, 1, 0.8, 1.0)], "ts int, pred int, meta_prob double, ret double")
+    got = E.trade_table(df).orderBy("ts").collect()
+    assert [(r["ts"], r["result"]) for r in got] == [(1, 0.5), (2, -0.25), (4, 0.0)] and len({r["primary_signal"] for r in got}) == 3
+
+
+def test_a_table_for_each_time_frame(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("utc,open,high,low,close,volume\n" + "".join(f"2024-01-01 00:{i:02d}:00,{i + 1},{i + 2},{i},{i + 1.5},3\n" for i in range(20)))
+    extract_timeframes(spark, str(tmp_path), str(tmp_path / "out"), {"1min": "a.csv", "5min": "b.csv"}, ["log_return"])
+    for name in ("1min", "5min"):
+        assert spark.read.parquet(str(tmp_path / "out" / name)).where("log_return is not null").count() == 19
+
+
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([(0.5, 1), (0.5, 0), (0.9, 1), (0.1, 0), (0.7, 0)], "p double, y int")
     assert E.roc_auc(df, "p", "y").first()[0] == pytest.approx((0.5 + 1 + 0 + 3) / 6)
@@ -126,6 +140,8 @@ def test_train_infer_and_walk_forward(spark, tmp_path, monkeypatch):
     config = Config(folds=2, sequence_length=20)
     trained, report = run_train(made, config)
     assert [r["metric"] for r in report.collect()] == [n for n, _, _ in E.REPORT]
+    losses = [r["loss"] for r in training_history(trained).orderBy("iteration").collect()]
+    assert len(losses) > 1 and losses[-1] < losses[0]
     trained.save(str(tmp_path / "model"))
     again = Trained.load(spark, str(tmp_path / "model"))
     assert (again.names, again.tau, again.sequence_length) == (trained.names, trained.tau, 20)

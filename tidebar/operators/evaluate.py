@@ -257,3 +257,10 @@ def signal_table(df: DataFrame, tau: float, base_lot: float = 1.0, max_mult: flo
         class_name(final).alias("final_signal"),
         F.bround(position_size(F.col("meta_prob"), final, tau, base_lot, max_mult).cast("double"), 4).alias("position_size"),
     )
+
+
+def trade_table(df: DataFrame, tau: float = 0.66) -> DataFrame:
+    """ts, primary_signal, meta_prob, ret, result of the trades that the plain filter takes; result is the signed return."""
+    from .labels import class_name
+
+    return df.where(taken(F.col("meta_prob"), tau)).select("ts", class_name(F.col("pred")).alias("primary_signal"), "meta_prob", "ret", pnl(F.col("pred"), F.col("ret")).alias("result"))

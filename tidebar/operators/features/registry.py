@@ -285,19 +285,22 @@ def _carry(df: DataFrame, wanted: list[str], rows: int, reach: int) -> DataFrame
     return per.select(KEY, filled.alias("filled0"), *carried)
 
 
-def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int | None = None, warm_up: int = 500, percentile_window: int = PERCENTILE_WINDOW, task_rows: int | None = TASK_ROWS) -> DataFrame:
+def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int | None = None, warm_up: int = 500, percentile_window: int = PERCENTILE_WINDOW, task_rows: int | None = TASK_ROWS, on_error: str = "raise") -> DataFrame:
     """bars (series_id, seq, ts, open ... volume) and the wanted features, all 104 unless told.
 
     task_rows: rows of a series that are one task's; None for a whole series. chunk_rows: instead compute chunk by chunk
     with `warm_up` rows of the chunk before, which other than a whole pass restarts recurrences, running sums and run
-    lengths there. vol_percentile needs a full window of volatilities: it is null in series shorter than
+    lengths there. on_error="null": a feature that can't be made (one of your own, or a statistic in a stretch) is null and
+    the others stay. vol_percentile needs a full window of volatilities: it is null in series shorter than
     `percentile_window` and 14 rows.
     """
+    if on_error not in ("raise", "null"):
+        raise ValueError("on_error is raise or null")
     wanted = ALL + list(CUSTOM) if wanted is None else wanted
     if unknown := [n for n in wanted if n not in ALL and n not in VARIANTS and n not in CUSTOM]:
         raise ValueError(f"unknown features: {', '.join(unknown)}")
     if chunk_rows:
-        parts = features(in_chunks(bars, chunk_rows, warm_up), wanted, None, warm_up, percentile_window, None).where("_own")
+        parts = features(in_chunks(bars, chunk_rows, warm_up), wanted, None, warm_up, percentile_window, None, on_error).where("_own")
         return parts.select(F.col("_series").alias(KEY), F.col("_seq").alias("seq"), "ts", *OHLCV, *wanted)
     kept = bars.columns
     families = {f for f, names in FEATURES.items() if set(names) & set(wanted)} | {VARIANT_OF[n] for n in wanted if n in VARIANTS} | {CUSTOM[n][0] for n in wanted if n in CUSTOM}
@@ -319,11 +322,16 @@ def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int |
     returns = [n for n in statistical.MADE if n in wanted or n == "jarque_bera" and "jarque_bera_60" in wanted]
     if set(VARIANTS) & set(wanted):
         df = df.withColumns({n: x for n, x in _variants().items() if n in wanted and n != "jarque_bera_60"})
-    if made := {n: CUSTOM[n][1]() for n in wanted if n in CUSTOM}:
-        df = df.withColumns(made)
+    for n in (n for n in wanted if n in CUSTOM):
+        try:
+            df = df.withColumn(n, CUSTOM[n][1]())
+        except Exception:
+            if on_error != "null":
+                raise
+            df = df.withColumn(n, F.lit(None).cast("double"))
     if returns:
         names = [*kept, *(n for n in wanted if n in df.columns and n not in kept), *(n for n in ("_series", "_own") if n in df.columns and n not in kept), *({"r", "atr14"} & set(df.columns))]
-        df = statistical.compute(df.select(*names), returns)
+        df = statistical.compute(df.select(*names), returns, on_error)
         if "jarque_bera_60" in wanted:
             df = df.withColumn("jarque_bera_60", F.col("jarque_bera"))
     if task_rows:

@@ -116,15 +116,21 @@ def over_windows(r: np.ndarray, n: int, make: Callable[[np.ndarray], np.ndarray]
     return out
 
 
-def compute(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """df with the wanted features of column r, stretch by stretch of its key."""
+def compute(df: DataFrame, wanted: list[str], on_error: str = "raise") -> DataFrame:
+    """df with the wanted features of column r, stretch by stretch of its key; what fails is null if on_error says so."""
     schema = StructType([*df.schema, *(StructField(n, DoubleType()) for n in wanted)])
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by("seq")
         r = part.column("r").to_numpy().astype(np.float64)
         for n in wanted:
-            part = part.append_column(n, pa.array(over_windows(r, *MADE[n]), from_pandas=True))
+            try:
+                made = over_windows(r, *MADE[n])
+            except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+                if on_error != "null":
+                    raise
+                made = np.full(len(r), np.nan)
+            part = part.append_column(n, pa.array(made, from_pandas=True))
         return part
 
     return df.groupBy(KEY).applyInArrow(run, schema)

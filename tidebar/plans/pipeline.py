@@ -16,7 +16,7 @@ from ..operators import models as M
 from ..operators.features import ALL, features
 from ..operators.labels import add_labels, class_of
 from ..operators.prepare import CORE, clean, fit_scaler, scale, time_split
-from ..sources.bars import write_table
+from ..sources.bars import TIMEFRAMES, read_bars, write_table
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,12 @@ def extract(bars: DataFrame, path: str, wanted: list[str] | None = None, skip_ex
     write_table(features(bars, wanted, chunk_rows), path, fmt, "ignore" if skip_existing else "overwrite")
 
 
+def extract_timeframes(spark: SparkSession, folder: str, out: str, frames: dict[str, str] = TIMEFRAMES, wanted: list[str] | None = None, skip_existing: bool = True) -> None:
+    """A feature table in `out` for each time frame's bar file in `folder`."""
+    for name, file in frames.items():
+        extract(read_bars(spark, f"{folder}/{file}"), f"{out}/{name}", wanted, skip_existing)
+
+
 def prepare(table: DataFrame, config: Config) -> tuple[DataFrame, list[str]]:
     """Cleaned features with labels and class y, and the names of the features."""
     df, names = clean(table)
@@ -118,6 +124,12 @@ def run_train(table: DataFrame, config: Config = Config()) -> tuple[Trained, Dat
     return made, E.report(_returns(parts["test"], scored), made.tau)
 
 
+def training_history(made: Trained) -> DataFrame:
+    """iteration, loss of the stage-1 learner, as long as it hasn't been saved and loaded."""
+    losses = made.primary.stages[-1].summary().objectiveHistory
+    return made.scaler.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "iteration int, loss double")
+
+
 def run_inference(table: DataFrame, made: Trained, config: Config = Config()) -> DataFrame:
     """Signals for a feature table; features that the model lacks are left out, missing ones are an error."""
     if missing := [n for n in made.names if n not in table.columns]:
