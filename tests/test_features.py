@@ -94,8 +94,9 @@ def test_sessions(spark):
 def test_values_come_from_the_past_only(spark):
     names = [n for n in ALL if n not in ("swing_strength", "adf_pvalue_100")]
     closes = walk(140)
-    a = table(features(bars(spark, closes), names), *names)
-    b = table(features(bars(spark, closes[:120] + [c + 5 for c in closes[120:]]), names), *names)
+    both = bars(spark, closes, series="a").unionByName(bars(spark, closes[:120] + [c + 5 for c in closes[120:]], series="b"))
+    made = features(both, names, task_rows=None).orderBy("seq").collect()
+    a, b = ([tuple(r[n] for n in names) for r in made if r["series_id"] == s] for s in "ab")
     assert a[:120] == b[:120] and a[120] != b[120]
 
 
@@ -139,7 +140,9 @@ def test_stretches_equal_one_pass(spark):
     closes[4090:4130:2] = [None] * 20
     one = bars(spark, closes).unionByName(bars(spark, walk(300, 9), series="t"))
     df = one.repartition(3)
-    names = [n for n in ALL if n not in ("vol_percentile", *FEATURES["session"])]
+    carried = ["consecutive_up", "consecutive_down", "swing_strength", "supertrend", "vwap_distance"]
+    recurring = ["price_vs_ema200", "ema_cross_20_50", "atr_50", "vol_regime_ma", "macd_hist_slope", "adx_14", "rsi_21"]
+    names = [*carried, *recurring, "vol_zscore", "ichimoku_cloud_dist", "higher_high", "volume_price_corr", *FEATURES["statistical"]]
     whole = {(r["series_id"], r["seq"]): r for r in features(df, names, task_rows=None).collect()}
     cut = features(df, names, task_rows=5120)
     got = cut.collect()
