@@ -177,6 +177,15 @@ def in_batches(docs: DataFrame, more: dict[str, str] | None = None) -> DataFrame
     return docs.select("doc_id", "text", batch.alias("bid"), F.col("_where.row_index").alias("row"), *(more or {}))
 
 
+#: Up to so many rows of a few numbers (some 40 bytes each) are sent to all executors; beyond, texts and sets are shuffled to them.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A kept table of short rows, marked to be sent to all executors if it has no more than BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 #: Vectors that one task of sum_blobs adds up in the rounds after the first.
 FAN = 32
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, grams, in_batches, keep, mix, partitions, raw_texts, sum_blobs
+from .common import BROADCAST_ROWS, Scratch, WordHashes, grams, in_batches, keep, mix, partitions, raw_texts, small, sum_blobs
 from .components import components
 from .substring_dedup import _rows, by_batch, split_by_top_bits
 
@@ -59,8 +59,6 @@ ROUNDS = 3
 RANGES = sorted({int(1.25**k) for k in range(130)})
 #: Tokens whose rarest element is in about so many documents or more (20 bytes each) aren't gathered in one task.
 COMMON = 500_000
-#: Up to so many wanted rows or pairs (32 bytes and a number each) are sent to all; beyond, texts and sets are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 class Shingles:
@@ -512,4 +510,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "bid", "row")
         first = whole.groupBy("root").agg(F.min(order).alias("x")).select("root", F.col("x.bid").alias("b"), F.col("x.row").alias("r"))
         gone = keep(whole.join(first, "root").where("bid != b or row != r").select("bid", "row"))
-    return named.join(gone, ["bid", "row"], "left_anti").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return named.join(small(gone), ["bid", "row"], "left_anti").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
