@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, neighbours, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, url_filter
+from . import conversations, jaccard_join, mixing, neighbours, packing, quality_classifier, quality_rules, secrets, sharding, spelling, substring_dedup, token_counts, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -125,6 +126,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=199, least_n=5, times=5)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sharding.shards(table(spark, sf_dir, "documents"), count=8)
+    return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report_of_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -137,6 +151,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_secret_scans": op9_secret_scans,
         "op10_token_counts": op10_token_counts,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_sharding": op12_sharding,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
