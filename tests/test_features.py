@@ -8,10 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.adf import adf_pvalues, mackinnon_p
-from tidebar.functions.frames import with_blocks
+from tidebar.functions.frames import in_stretches, of_series, rows, with_blocks
 from tidebar.functions.scan import Scan, ewm, scans, ta_ema
 from tidebar.operators.features import ALL, FEATURES, VARIANTS, features, register, registry
-from tidebar.operators.features.registry import rolling_percentile
 
 START = dt.datetime(2024, 1, 1)
 
@@ -95,7 +94,7 @@ def test_values_come_from_the_past_only(spark):
     names = [n for n in ALL if n not in ("swing_strength", "adf_pvalue_100")]
     closes = walk(140)
     both = bars(spark, closes, series="a").unionByName(bars(spark, closes[:120] + [c + 5 for c in closes[120:]], series="b"))
-    made = features(both, names, task_rows=None).orderBy("seq").collect()
+    made = features(both, names).orderBy("seq").collect()
     a, b = ([tuple(r[n] for n in names) for r in made if r["series_id"] == s] for s in "ab")
     assert a[:120] == b[:120] and a[120] != b[120]
 
@@ -131,31 +130,67 @@ def test_chunks_restart_running_sums_behind_their_warm_up(spark):
     assert [p[0] for p in parts[150:]] == pytest.approx([v[0] for v in alone[80:]])
 
 
-def test_stretches_equal_one_pass(spark):
-    """Series over several tasks: the same values as in one, with missing closes, a long rise and a flat stretch."""
-    n = 6000
+def odd_series(spark, n, gap=(2600, 4300)):
+    """A series with a long rise, a flat stretch, single missing closes and a long run of them, beside a short one."""
     closes = walk(n, 8)
-    closes[1000:2600] = [closes[999] + 0.01 * i for i in range(1600)]  # a run over a border
-    closes[3000:3400] = [50.0] * 400
-    closes[4090:4130:2] = [None] * 20
-    one = bars(spark, closes).unionByName(bars(spark, walk(300, 9), series="t"))
-    df = one.repartition(3)
-    carried = ["consecutive_up", "consecutive_down", "swing_strength", "supertrend", "vwap_distance"]
-    recurring = ["price_vs_ema200", "ema_cross_20_50", "atr_50", "vol_regime_ma", "macd_hist_slope", "adx_14", "rsi_21"]
-    names = [*carried, *recurring, "vol_zscore", "ichimoku_cloud_dist", "higher_high", "volume_price_corr", *FEATURES["statistical"]]
-    whole = {(r["series_id"], r["seq"]): r for r in features(df, names, task_rows=None).collect()}
-    cut = features(df, names, task_rows=5120)
-    got = cut.collect()
-    assert len(got) == len(whole) == n + 300
+    closes[500:2300] = [closes[499] + 0.01 * i for i in range(1800)]  # a run over borders
+    closes[2400:2560] = [50.0] * 160
+    closes[2040:2080:2] = [None] * 20
+    closes[gap[0] : gap[1]] = [None] * (gap[1] - gap[0])
+    opens = walk(n, 10)
+    made = bars(spark, closes, opens=opens, highs=[max(o, c or o) + 1 for o, c in zip(opens, closes)], lows=[min(o, c or o) - 1 for o, c in zip(opens, closes)])
+    return made.unionByName(bars(spark, walk(300, 9), series="t")).repartition(3)
+
+
+@pytest.mark.parametrize("family", [f for f in FEATURES if f != "session"])
+def test_stretches_equal_one_pass(spark, family):
+    """Series over several tasks: the values of every feature and variant are those of one pass."""
+    df = odd_series(spark, 5000)
+    names = [n for n in FEATURES[family] if n != "adf_pvalue_100"] + [n for n, f in registry.VARIANT_OF.items() if f == family]
+    whole = {(r["series_id"], r["seq"]): r for r in features(df, names, task_rows=None, percentile_window=300).collect()}
+    got = features(df, names, task_rows=2048, percentile_window=300).collect()
+    assert len(got) == len(whole) == 5300
     for r in got:
         for name in names:
             a, b = r[name], whole[r["series_id"], r["seq"]][name]
             assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-9, abs=1e-9)), (name, r["seq"], a, b)
 
 
+def test_dickey_fuller_in_stretches(spark):
+    df = odd_series(spark, 5000).where("seq < 2700")
+    whole, cut = (sorted(map(tuple, features(df, ["adf_pvalue_100"], task_rows=t).select("series_id", "seq", "adf_pvalue_100").collect())) for t in (None, 1024))
+    assert [r[:2] for r in cut] == [r[:2] for r in whole]
+    assert all((a[2] is None) == (b[2] is None) and (a[2] is None or a[2] == pytest.approx(b[2], abs=1e-9)) for a, b in zip(cut, whole))
+
+
+def test_features_of_a_row_alone_shuffle_nothing(spark):
+    df = bars(spark, walk(50)).repartition(2)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert plan(features(df, FEATURES["session"])).count("Exchange") == plan(df).count("Exchange")
+    assert "Join" not in plan(features(df, ["rsi_14", "adx_14", "atr_14", "log_return"]))
+
+
+@pytest.mark.parametrize(("back", "ahead", "rows"), [(0, 0, 8), (3, 0, 8), (0, 13, 8), (20, 20, 8)])
+def test_stretches_have_their_surroundings(spark, back, ahead, rows):
+    df = spark.createDataFrame([("s", i, i * i) for i in range(50)], "series_id string, seq long, x long")
+    cut = in_stretches(df, rows, back, ahead)
+    got = {}
+    for r in cut.collect():
+        got.setdefault(r["series_id"]["stretch"], []).append((r["seq"], r["_own"]))
+    for k in range(7):
+        inside = range(rows * k, min(rows * k + rows, 50))
+        around = range(max(rows * k - back, 0), min(rows * k + rows + ahead, 50))
+        assert sorted(got[k]) == [(i, i in inside) for i in around]
+    assert sorted(map(tuple, of_series(cut).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_a_feature_of_ones_own(spark):
     register("half_rsi", "momentum", lambda: F.col("rsi_14") / 2)
+    register("far_mean", "momentum", lambda: F.avg("rsi_14").over(rows(3000)), reach=3000)
     try:
+        long = bars(spark, walk(5000))
+        whole, cut = (table(features(long, ["far_mean"], task_rows=t), "far_mean") for t in (None, 1024))
+        assert cut == [pytest.approx(x) for x in whole]
         got = table(features(bars(spark, walk(40)), ["half_rsi", "rsi_14"]), "half_rsi", "rsi_14")
         assert got[30][0] == pytest.approx(got[30][1] / 2)
     finally:
@@ -176,14 +211,6 @@ def test_a_feature_that_fails_leaves_the_others(spark):
         registry.CUSTOM.clear()
 
 
-def test_rolling_percentile(spark):
-    values = [3.0, 1.0, 2.0, 2.0, None, 5.0, 4.0, 4.0, 1.0]
-    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "series_id string, seq long, x double")
-    got = [r[0] for r in table(rolling_percentile(df, "x", 3, "p"), "p")]
-    assert got[:2] == [None, None] and got[2] == pytest.approx(2 / 3) and got[3] == pytest.approx(2.5 / 3)
-    assert got[4:7] == [None] * 3 and got[7] == pytest.approx(1.5 / 3) and got[8] == pytest.approx(1 / 3)
-
-
 def test_dickey_fuller(spark):
     rng = np.random.default_rng(0)
     still, drifting = rng.normal(size=(50, 100)), rng.normal(size=(50, 100)).cumsum(1)

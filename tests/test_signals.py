@@ -1,6 +1,7 @@
 """Labels, preparation, evaluation and the two-stage run."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import evaluate as E
 from tidebar.operators import labels as L
-from tidebar.operators import models as M
 from tidebar.operators import prepare as P
 from tidebar.operators.features import features
-from tidebar.plans.pipeline import Config, Trained, extract_timeframes, run_inference, run_train, run_walk_forward, training_history
+from tidebar.operators.leafwise import Growth
+from tidebar.operators.sequence_training import Training
+from tidebar.plans.pipeline import Config, Trained, extract_timeframes, read_features, run_inference, run_train, run_walk_forward, training_history
 from tidebar.plans.signal_queries import QUERIES
 
 from .test_features import bars, table, walk
@@ -129,34 +131,69 @@ def test_walk_forward_bounds():
     assert E.walk_forward_folds(1000) == []
 
 
-def test_train_infer_and_walk_forward(spark, tmp_path, monkeypatch):
-    """The whole run on a few features, with few folds, iterations and trees."""
-    monkeypatch.setattr(M.train_primary, "__defaults__", ("y", (4,), 10))
-    monkeypatch.setattr(M.train_meta, "__defaults__", (3, 3, 0.1))
-    names = [*P.CORE, "macd_histogram"]
-    path = str(tmp_path / "features")
-    features(bars(spark, walk(400, 5), volumes=[10.0] * 400), names, task_rows=None).write.parquet(path)
-    made = spark.read.parquet(path)
-    config = Config(folds=1, sequence_length=20)
-    trained, report = run_train(made, config)
+QUICK = Config(folds=2, sequence_length=12, width=8, heads=2, layers=1, inner=8, dropout=0.0, training=Training(epochs=2, rate=0.01), growth=Growth(trees=3, leaves=4, rate=0.3, least_rows=5, bins=16))
+
+
+@pytest.fixture(scope="module")
+def feature_table(spark, tmp_path_factory):
+    path = "file://" + str(tmp_path_factory.mktemp("features") / "table")
+    features(bars(spark, walk(420, 5), volumes=[10.0] * 420), [*P.CORE, "macd_histogram"], task_rows=None).write.parquet(path)
+    return path
+
+
+def test_train_and_infer(spark, tmp_path, feature_table):
+    """The whole run on a few features, with a small network and few trees; a model that was saved and loaded gives the same signals."""
+    made = read_features(spark, feature_table, [*P.CORE, "macd_histogram"])
+    trained, report = run_train(made, QUICK, f"file://{tmp_path}/epochs")
     assert [r["metric"] for r in report.collect()] == [n for n, _, _ in E.REPORT]
-    losses = [r["loss"] for r in training_history(trained).orderBy("iteration").collect()]
-    assert len(losses) > 1 and losses[-1] < losses[0]
-    trained.save(str(tmp_path / "model"))
-    again = Trained.load(spark, str(tmp_path / "model"))
-    assert (again.names, again.tau, again.sequence_length) == (trained.names, trained.tau, 20)
-    signals = run_inference(made, again, config)
-    assert signals.columns == ["ts", "primary_signal", "meta_confidence", "final_signal", "position_size"]
-    got = sorted(map(tuple, signals.collect()))
-    assert len(got) > 300
-    results = run_walk_forward(made, config, windows=1, least_train=100, least_test=30).collect()
-    assert [r["window_id"] for r in results] == ["1", "MEAN"] and results[0]["sharpe"] == results[1]["sharpe"]
-
-
-def test_scores_start_at_a_whole_window(spark, monkeypatch):
-    monkeypatch.setattr(M, "predict_primary", lambda model, df: df)
-    monkeypatch.setattr(E, "meta_inputs", lambda df, names, true: df.select("series_id", "seq"))
-    monkeypatch.setattr(M, "predict_meta", lambda model, df, names: df)
+    history = training_history(trained).orderBy("epoch").collect()
+    assert [h["epoch"] for h in history] == [1, 2] and history[1]["train_loss"] < history[0]["train_loss"]
+    assert trained.sequence_length == 12 and set(trained.scaler) == set(trained.names) and 0.4 <= trained.tau <= 0.85
+    trained.save(spark, f"file://{tmp_path}/model")
+    again = Trained.load(spark, f"file://{tmp_path}/model")
+    assert (again.names, again.tau, again.scaler) == (trained.names, trained.tau, trained.scaler)
+    first, second = (sorted(map(tuple, run_inference(made, t, QUICK).collect())) for t in (trained, again))
+    rows = made.where(" AND ".join(f"{n} IS NOT NULL" for n in P.CORE)).count()
+    assert first == second and len(first) == rows - 11
+    with pytest.raises(ValueError, match="macd_histogram"):
+        run_inference(made.drop("macd_histogram"), trained, QUICK)
+
+
+def test_walk_forward(spark, feature_table):
+    results = run_walk_forward(spark.read.parquet(feature_table), replace(QUICK, folds=1), windows=2, least_train=100, least_test=30).collect()
+    assert [r["window_id"] for r in results] == ["1", "2", "MEAN"]
+    assert results[2]["sharpe"] == pytest.approx((results[0]["sharpe"] + results[1]["sharpe"]) / 2) and results[0]["train_size"] < results[1]["train_size"]
+    with pytest.raises(ValueError):
+        run_walk_forward(spark.read.parquet(feature_table), QUICK)
+
+
+def test_feature_tables_are_checked(spark, feature_table, tmp_path):
+    names = [*P.CORE, "macd_histogram"]
+    table_ = spark.read.parquet(feature_table)
+    table_.withColumn("extra", F.lit(1)).write.option("header", True).csv(f"file://{tmp_path}/csv")
+    got = read_features(spark, f"file://{tmp_path}/csv", names, "csv")
+    assert got.columns == ["series_id", "seq", "ts", "open", "high", "low", "close", "volume", *names]
+    key = lambda r: tuple(None if v is None else v for v in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, table_.select(got.columns).collect()))
+    with pytest.raises(ValueError, match="rsi_99"):
+        read_features(spark, feature_table, ["rsi_99"])
+    table_.withColumn("rsi_14", F.array("rsi_14")).write.parquet(f"file://{tmp_path}/odd")
+    with pytest.raises(ValueError, match="rsi_14"):
+        read_features(spark, f"file://{tmp_path}/odd", names)
+
+
+def test_labels_returns_and_windows_in_stretches(spark):
+    """Rows of a series over several tasks, windows longer than a stretch: the same as in one, and no task has a series."""
+    df = bars(spark, walk(400, 4)).unionByName(bars(spark, walk(50, 5), series="t")).withColumns({"atr_14": F.lit(1.0), "y": F.lit(1)}).repartition(3)
+    for make in (L.triple_barrier, L.fixed_horizon, E.next_return, lambda d, task_rows: P.sequences(d, ["open", "close"], 60, 3, "y", task_rows)):
+        whole, cut = make(df, task_rows=1000), make(df, task_rows=16)
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, cut.collect()))
+        plan = make(df, task_rows=16)._jdf.queryExecution().executedPlan().toString()
+        assert "_at" in plan and "hashpartitioning(series_id" in plan
+        assert plan.count("hashpartitioning") == 1
+
+
+def test_rows_with_a_whole_window(spark):
     df = spark.createDataFrame([(s, 100 + 2 * i, i) for s in "ab" for i in range(25)], "series_id string, seq long, ts int")
-    got = Trained(["x"], None, None, None, 0.5, 20).score(df)
+    got = P.with_window(df, 20)
     assert sorted((r["series_id"], r["ts"]) for r in got.collect()) == [(s, i) for s in "ab" for i in range(19, 25)]

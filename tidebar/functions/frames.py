@@ -18,6 +18,29 @@ def with_blocks(df: DataFrame) -> DataFrame:
     return df.withColumns({"blk": F.floor(F.col("seq") / B), "sup": F.floor(F.col("seq") / (B * B))})
 
 
+#: Rows of a stretch of a series, the rows that one task works on.
+STRETCH = 65_536
+
+
+def in_stretches(df: DataFrame, rows: int = STRETCH, back: int = 0, ahead: int = 0) -> DataFrame:
+    """Rows of each stretch of `rows`, with the `back` rows before it and the `ahead` rows behind it.
+
+    series_id becomes (series, stretch), so that windows over it are of a stretch; seq stays. _own is false for the rows
+    around a stretch. seq must number a series without gaps; back and ahead may be longer than a stretch.
+    """
+    at = F.floor(F.col("seq") / rows)
+    spread = F.sequence(F.greatest(F.floor((F.col("seq") - ahead) / rows), F.lit(0).cast("long")), F.floor((F.col("seq") + back) / rows))
+    df = df.withColumn("_at", F.explode(spread))
+    key = F.struct(F.col(KEY).alias("series"), F.col("_at").alias("stretch"))
+    return df.select(key.alias(KEY), *[c for c in df.columns if c not in (KEY, "_at")], F.col(KEY).alias("_series"), (at == F.col("_at")).alias("_own"))
+
+
+def of_series(df: DataFrame, *columns: str) -> DataFrame:
+    """The own rows of stretches as rows of their series, without what in_stretches() and with_blocks() add, or the named columns."""
+    names = list(columns) or [c for c in df.columns if c not in (KEY, "_series", "_own", "blk", "sup")]
+    return df.where("_own").select(*[F.col("_series").alias(KEY) if c == KEY else F.col(c) for c in ([KEY] if not columns else []) + names])
+
+
 def series() -> WindowSpec:
     return Window.partitionBy(KEY).orderBy("sup", "blk", "seq")
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEY, lead, with_blocks
+from ..functions.frames import KEY, STRETCH, in_stretches, lead, of_series, with_blocks
 
 ANNUAL = 252 * 1440
 PROBS = ("p_short", "p_flat", "p_long")
@@ -51,10 +51,13 @@ def position_size(prob: Column, signal: Column, tau: float, base_lot: float = 1.
     return F.when(signal == 1, 0.0).otherwise(base_lot * (1 + edge * (max_mult - 1))).cast("float")
 
 
-def next_return(df: DataFrame, name: str = "ret") -> DataFrame:
-    """Change of the close to the next bar; NaN, not null, on the last one, so that it shows in what includes it."""
-    df = with_blocks(df)
-    return df.withColumn(name, F.coalesce(lead("close") - F.col("close"), F.lit(NAN))).drop("blk", "sup")
+def next_return(df: DataFrame, name: str = "ret", task_rows: int = STRETCH) -> DataFrame:
+    """Change of the close to the next bar; NaN, not null, on the last one, so that it shows in what includes it.
+
+    Rows are numbered without gaps; tasks are stretches of `task_rows`.
+    """
+    df = with_blocks(in_stretches(df, task_rows, ahead=1))
+    return of_series(df.withColumn(name, F.coalesce(lead("close") - F.col("close"), F.lit(NAN))))
 
 
 def pnl(signal: Column, ret: Column) -> Column:

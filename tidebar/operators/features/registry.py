@@ -12,14 +12,13 @@ reads.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.frames import KEY, finite, flag, ratio, mean
+from ...functions.frames import KEY, STRETCH, finite, flag, in_stretches, mean, ratio
+from ...functions.ranks import rolling_percentile
 from ...sources.bars import OHLCV
 from . import momentum, price, session, statistical, trend, volatility, volume
 from .base import price_columns, recurrences
@@ -27,7 +26,7 @@ from .base import price_columns, recurrences
 FAMILIES = {"price": price, "volatility": volatility, "momentum": momentum, "trend": trend, "statistical": statistical, "volume": volume, "session": session}
 PERCENTILE_WINDOW = 252 * 1440
 #: Rows of a stretch, and how far back windows and recurrences of a family reach: there a^rows is below 1e-18, so nothing is lost.
-TASK_ROWS = 8192
+TASK_ROWS = STRETCH
 REACH = {"price": 5120, "volatility": 3072, "momentum": 2048}
 #: The names, by family, in the order of registration.
 FEATURES: dict[str, list[str]] = {
@@ -151,6 +150,8 @@ FEATURES: dict[str, list[str]] = {
     ],
 }
 ALL = [n for names in FEATURES.values() for n in names]
+#: What is made of returns over missing closes, which need the last close before a stretch.
+OF_RETURNS = {"bar_return_zscore", "bar_return_2score", "volume_price_corr", "jarque_bera_60", *FEATURES["statistical"]}
 
 
 def _variants() -> dict[str, Column]:
@@ -178,37 +179,6 @@ VARIANT_OF = {
 VARIANTS = list(VARIANT_OF)
 
 
-def rolling_percentile(df: DataFrame, column: str, window: int, name: str) -> DataFrame:
-    """df with the percentile rank, ties averaged, of each row's value among the last `window`; null unless all are there.
-
-    A sorted list of the window's values follows each series, so a row costs a search, not a pass over the window.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        values, held, out, gaps = part[column].to_numpy(), [], [], 0
-        for i, x in enumerate(values):
-            if i >= window:
-                gone = values[i - window]
-                if gone == gone:
-                    held.pop(bisect.bisect_left(held, gone))
-                else:
-                    gaps -= 1
-            if x == x:
-                bisect.insort(held, x)
-            else:
-                gaps += 1
-            if i + 1 < window or gaps:
-                out.append(None)
-            else:
-                below, upto = bisect.bisect_left(held, x), bisect.bisect_right(held, x)
-                out.append((below + (upto - below + 1) / 2) / window)
-        return pd.DataFrame({KEY: part[KEY], "seq": part["seq"], name: pd.array(out, dtype="Float64")})
-
-    ranks = df.select(KEY, "seq", column).groupBy(KEY).applyInPandas(run, f"{KEY} {df.schema[KEY].dataType.simpleString()}, seq long, {name} double")
-    return df.join(ranks, [KEY, "seq"])
-
-
 def in_chunks(bars: DataFrame, rows: int, warm_up: int) -> DataFrame:
     """Bars of each chunk of `rows`, behind the last `warm_up` ones of the chunk before, as series of their own.
 
@@ -229,21 +199,6 @@ def in_chunks(bars: DataFrame, rows: int, warm_up: int) -> DataFrame:
     )
 
 
-def in_stretches(bars: DataFrame, rows: int, reach: int) -> DataFrame:
-    """Bars of each stretch of `rows`, behind the `reach` ones before it and before the one after it.
-
-    series_id becomes (series, stretch); seq stays, so seeds and blocks of recurrences are where they were. _own is
-    false for the rows around a stretch.
-    """
-    if rows % 1024 or reach % 1024 or reach > rows:
-        raise ValueError("rows and reach must be multiples of 1024, and reach at most rows")
-    at = F.floor(F.col("seq") / rows)
-    first = F.when((F.col("seq") % rows == 0) & (at > 0), at - 1).otherwise(at)
-    df = bars.withColumn("_at", F.explode(F.sequence(first, F.floor((F.col("seq") + reach) / rows))))
-    key = F.struct(F.col(KEY).alias("series"), F.col("_at").alias("stretch"))
-    return df.select(key.alias(KEY), *[c for c in df.columns if c not in (KEY, "_at")], F.col(KEY).alias("_series"), (at == F.col("_at")).alias("_own"))
-
-
 def _ending(name: str) -> Column:
     """The last value of a column in the own rows of a stretch."""
     return F.max_by(name, F.when(F.col("_own") & F.col(name).isNotNull(), F.col("seq")))
@@ -288,10 +243,10 @@ def _carry(df: DataFrame, wanted: list[str], rows: int, reach: int) -> DataFrame
 def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int | None = None, warm_up: int = 500, percentile_window: int = PERCENTILE_WINDOW, task_rows: int | None = TASK_ROWS, on_error: str = "raise") -> DataFrame:
     """bars (series_id, seq, ts, open ... volume) and the wanted features, all 104 unless told.
 
-    task_rows: rows of a series that are one task's; None for a whole series. chunk_rows: instead compute chunk by chunk
-    with `warm_up` rows of the chunk before, which other than a whole pass restarts recurrences, running sums and run
-    lengths there. on_error="null": a feature that can't be made (one of your own, or a statistic in a stretch) is null and
-    the others stay. vol_percentile needs a full window of volatilities: it is null in series shorter than
+    task_rows: rows of a series that are one task's, a multiple of 1024; None for a whole series. chunk_rows: instead compute
+    chunk by chunk with `warm_up` rows of the chunk before, which other than a whole pass restarts recurrences, running sums
+    and run lengths there. on_error="null": a feature that can't be made (one of your own, or a statistic in a stretch) is
+    null and the others stay. vol_percentile needs a full window of volatilities: it is null in series shorter than
     `percentile_window` and 14 rows.
     """
     if on_error not in ("raise", "null"):
@@ -299,17 +254,23 @@ def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int |
     wanted = ALL + list(CUSTOM) if wanted is None else wanted
     if unknown := [n for n in wanted if n not in ALL and n not in VARIANTS and n not in CUSTOM]:
         raise ValueError(f"unknown features: {', '.join(unknown)}")
+    if task_rows and task_rows % 1024:
+        raise ValueError("task_rows must be a multiple of 1024")
     if chunk_rows:
         parts = features(in_chunks(bars, chunk_rows, warm_up), wanted, None, warm_up, percentile_window, None, on_error).where("_own")
         return parts.select(F.col("_series").alias(KEY), F.col("_seq").alias("seq"), "ts", *OHLCV, *wanted)
     kept = bars.columns
     families = {f for f, names in FEATURES.items() if set(names) & set(wanted)} | {VARIANT_OF[n] for n in wanted if n in VARIANTS} | {CUSTOM[n][0] for n in wanted if n in CUSTOM}
+    if families <= {"session"} and not set(wanted) & set(CUSTOM):  # of a row alone
+        return bars.withColumns(session.first()).select(*kept, *wanted)
     needed = {{"consecutive_up_int": "consecutive_up", "consecutive_down_int": "consecutive_down"}.get(n, n) for n in wanted}
     df = bars
     if task_rows:
         reach = max((REACH.get(f, 1024) for f in families), default=1024)
-        df = in_stretches(bars, task_rows, reach)
-        df = df.join(_carry(df, needed, task_rows, reach), KEY)
+        reach += 1024 * max((-(-(CUSTOM[n][2] - 100) // 1024) for n in wanted if n in CUSTOM), default=0)
+        df = in_stretches(bars, task_rows, reach, 1)
+        if needed & (OF_RETURNS | set(CARRY) | set(CUSTOM)):
+            df = df.join(_carry(df, needed, task_rows, reach), KEY)
         df = df.withColumn("_use", F.col("_own"))
     else:
         df = df.withColumn("_use", F.lit(True))
@@ -337,20 +298,16 @@ def features(bars: DataFrame, wanted: list[str] | None = None, chunk_rows: int |
     if task_rows:
         df = df.where("_own").withColumn(KEY, F.col("_series"))
     if "vol_percentile" in wanted:
-        longest = bars.groupBy(KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if longest < percentile_window + 14:
-            df = df.withColumn("vol_percentile", F.lit(None).cast("double"))
-        else:
-            df = rolling_percentile(df, "atr14", percentile_window, "vol_percentile")
+        df = rolling_percentile(df, "atr14", percentile_window, "vol_percentile", task_rows or TASK_ROWS)
     return df.select(*kept, *wanted)
 
 
-#: Features that users add: name -> (family whose columns it builds on, what makes it).
-CUSTOM: dict[str, tuple[str, Callable[[], Column]]] = {}
+#: Features that users add: name -> (family whose columns it builds on, what makes it, rows it looks back).
+CUSTOM: dict[str, tuple[str, Callable[[], Column], int]] = {}
 
 
-def register(name: str, family: str, make: Callable[[], Column]) -> None:
-    """Add a feature of one's own: a column over those of a family, whose windows reach back 100 rows at the most."""
+def register(name: str, family: str, make: Callable[[], Column], reach: int = 100) -> None:
+    """Add a feature of one's own: a column over those of a family, whose windows reach back `reach` rows at the most."""
     if name in ALL or name in VARIANTS or family not in FAMILIES:
         raise ValueError(f"{name} is taken, or {family} no family")
-    CUSTOM[name] = (family, make)
+    CUSTOM[name] = (family, make, reach)

@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ...functions.adf import adf_pvalues
 from ...functions.frames import KEY
+from ...functions.store import workers_find_us
 
 HURST_LAGS = range(2, 20)
 #: Rows whose windows are looked at together.
@@ -118,6 +119,7 @@ def over_windows(r: np.ndarray, n: int, make: Callable[[np.ndarray], np.ndarray]
 
 def compute(df: DataFrame, wanted: list[str], on_error: str = "raise") -> DataFrame:
     """df with the wanted features of column r, stretch by stretch of its key; what fails is null if on_error says so."""
+    workers_find_us(df.sparkSession)
     schema = StructType([*df.schema, *(StructField(n, DoubleType()) for n in wanted)])
 
     def run(part: pa.Table) -> pa.Table:

@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEY, lead, with_blocks
+from ..functions.frames import STRETCH, in_stretches, lead, of_series, with_blocks
 
 CLASS_NAMES = ("SHORT", "FLAT", "LONG")
 
 
-def triple_barrier(df: DataFrame, tp_mult: float = 1.5, sl_mult: float = 1.0, max_hold: int = 12, name: str = "label_primary") -> DataFrame:
+def triple_barrier(df: DataFrame, tp_mult: float = 1.5, sl_mult: float = 1.0, max_hold: int = 12, name: str = "label_primary", task_rows: int = STRETCH) -> DataFrame:
     """1 if within max_hold bars the close first rises by tp_mult * atr_14, -1 if it first falls by sl_mult * atr_14, else 0.
 
     Barriers are on closes and those of a long position. Without a volatility above 0, and in the last max_hold + 1
-    rows of a series, the label is 0. atr_14 is required.
+    rows of a series, the label is 0. atr_14 is required. Rows are numbered without gaps; a task has a stretch of
+    `task_rows` and the rows behind it that it looks ahead to.
     """
     if "atr_14" not in df.columns:
         raise ValueError("triple-barrier labels need atr_14")
     atr, close = F.col("atr_14"), F.col("close")
-    df = with_blocks(df)
+    df = with_blocks(in_stretches(df, task_rows, ahead=max_hold + 1))
     steps = [F.when(lead("close", j) - close >= tp_mult * atr, 1).when(lead("close", j) - close <= -sl_mult * atr, -1) for j in range(1, max_hold + 1)]
-    rows = F.count("*").over(Window.partitionBy(KEY))
-    label = F.when((atr > 0) & (F.col("seq") < rows - max_hold - 1), F.coalesce(*steps, F.lit(0))).otherwise(0)
-    return df.withColumn(name, label.cast("tinyint")).drop("blk", "sup")
+    label = F.when((atr > 0) & lead(F.lit(True), max_hold + 1).isNotNull(), F.coalesce(*steps, F.lit(0))).otherwise(0)
+    return of_series(df.withColumn(name, label.cast("tinyint")))
 
 
-def fixed_horizon(df: DataFrame, horizon: int = 3, flat_band: float = 0.0003, name: str = "label_primary") -> DataFrame:
-    """Sign of the return over `horizon` bars outside a band; 0 within it and for the last rows."""
+def fixed_horizon(df: DataFrame, horizon: int = 3, flat_band: float = 0.0003, name: str = "label_primary", task_rows: int = STRETCH) -> DataFrame:
+    """Sign of the return over `horizon` bars outside a band; 0 within it and for the last rows. Tasks are stretches of rows."""
     ahead = lead("close", horizon) / F.nullif(F.col("close"), F.lit(0.0)) - 1
-    df = with_blocks(df)
-    return df.withColumn(name, F.when(ahead > flat_band, 1).when(ahead < -flat_band, -1).otherwise(0).cast("tinyint")).drop("blk", "sup")
+    df = with_blocks(in_stretches(df, task_rows, ahead=horizon))
+    return of_series(df.withColumn(name, F.when(ahead > flat_band, 1).when(ahead < -flat_band, -1).otherwise(0).cast("tinyint")))
 
 
 def add_labels(df: DataFrame, method: str = "triple_barrier") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 
-from ..functions.frames import KEY, rows, with_blocks
+from ..functions.frames import KEY, STRETCH, in_stretches, of_series, rows, with_blocks
+from ..functions.quantiles import matrices, quantiles
+from ..functions.store import Scratch
 from ..sources.bars import number_rows
 
 EXCLUDED = {"series_id", "seq", "ts", "utc", "open", "high", "low", "close", "volume", "label_primary", "label_meta"}
@@ -76,11 +79,17 @@ def time_folds(df: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def fit_scaler(train: DataFrame, names: list[str]) -> DataFrame:
-    """feature, median, iqr: exact percentiles over the rows given, which must be training rows; an iqr of 0 counts as 1."""
-    quarters = train.agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names])
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("q")) for n in names]))
-    spread = F.col("x.q")[2] - F.col("x.q")[0]
-    return quarters.select(pairs.alias("x")).select("x.feature", F.col("x.q")[1].alias("median"), F.when(spread == 0, 1.0).otherwise(spread).alias("iqr"))
+    """feature, median, iqr: exact quartiles over the rows given, which must be training rows; an iqr of 0 counts as 1.
+
+    The columns are stored once, and histograms of all of them refined in passes over that; no task holds a column's values.
+    Missing values count as greater than all others; a column without rows has neither median nor iqr.
+    """
+    with Scratch() as scratch:
+        stored = scratch.keep(train.select(*[F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)]))
+        q = quantiles(stored, matrices([f"c{i}" for i in range(len(names))]), 1, len(names), (0.25, 0.5, 0.75))[0]
+    number = lambda x: None if np.isnan(x) else float(x)
+    rows = [(n, number(m), number((b - a) or 1.0)) for n, (a, m, b) in zip(names, q)]
+    return train.sparkSession.createDataFrame(rows, "feature string, median double, iqr double")
 
 
 def scale(df: DataFrame, params: DataFrame | dict[str, tuple[float, float]], names: list[str]) -> DataFrame:
@@ -95,8 +104,18 @@ def scale(df: DataFrame, params: DataFrame | dict[str, tuple[float, float]], nam
     return df.withColumns(out)
 
 
-def sequences(df: DataFrame, names: list[str], length: int = 60, step: int = 1, cls: str | None = None) -> DataFrame:
-    """series_id, seq, x (array of `length` arrays of features, float) and the class of the last bar."""
-    df = with_blocks(df).withColumn("_x", F.array(*[F.col(n).cast("float") for n in names]))
+def with_window(df: DataFrame, length: int) -> DataFrame:
+    """Rows of df that have a whole window of `length` rows behind them: all but the first length - 1 of a series, whatever
+    its numbers."""
+    placed = number_rows(df.withColumnRenamed("seq", "_was"), [KEY], [F.col("_was")], F.floor(F.col("_was") / STRETCH))
+    return placed.where(F.col("seq") >= length - 1).drop("seq").withColumnRenamed("_was", "seq").select(*df.columns)
+
+
+def sequences(df: DataFrame, names: list[str], length: int = 60, step: int = 1, cls: str | None = None, task_rows: int = STRETCH) -> DataFrame:
+    """series_id, seq, x (array of `length` arrays of features, float) and the class of the last bar.
+
+    Rows are numbered from 0 without gaps; a task has a stretch of `task_rows` and the length - 1 rows before it.
+    """
+    df = with_blocks(in_stretches(df, task_rows, back=length - 1)).withColumn("_x", F.array(*[F.col(n).cast("float") for n in names]))
     out = df.withColumn("x", F.collect_list("_x").over(rows(length))).where((F.col("seq") >= length - 1) & ((F.col("seq") - length + 1) % step == 0))
-    return out.select(KEY, "seq", "x", *([F.col(cls).alias("y")] if cls else []))
+    return of_series(out.withColumnRenamed(cls, "y") if cls else out, KEY, "seq", "x", *(["y"] if cls else []))
