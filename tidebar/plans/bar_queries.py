@@ -33,7 +33,7 @@ def family(name: str, series: str | None = None) -> Query:
 
 
 def adf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(bars_of(spark, sf_dir), ["adf_pvalue_100"]).select("series_id", "seq", "adf_pvalue_100")
+    return rounded(features(bars_of(spark, sf_dir), ["adf_pvalue_100"]).select("series_id", "seq", "adf_pvalue_100"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {f"features_{name}": getattr(oracle, name)() for name in FEATURES}
     out["features_volume_by_series"] = oracle.volume(oracle.SERIES_BARS)
+    out["feature_adf_pvalue"] = oracle.adf()
     out |= {"feature_variants": oracle.variants(), "features_of_constant_bars": oracle.constant_bars(), "feature_vol_percentile": oracle.vol_percentile(500)}
     return out

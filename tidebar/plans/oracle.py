@@ -212,7 +212,7 @@ def trend() -> str:
 
 
 def statistical() -> str:
-    """Without the Dickey-Fuller test, which SQL can't express."""
+    """Without the Dickey-Fuller test, which has a query of its own."""
     lags = range(2, 20)
     x = [math.log(k) for k in lags]
     mid = sum(x) / len(x)
@@ -244,6 +244,33 @@ def statistical() -> str:
     return query([pre], columns, "q0", (30, 40, 45, 49, 50, 60, 100, *(100 - k for k in lags)))
 
 
+def adf() -> str:
+    """Dickey-Fuller tests of the last 100 returns: least squares by elimination in matrices of cross products.
+
+    Orders are nested, so what is left for y after the first columns is the residual sum of each order; the chosen order is
+    fitted again with the level as its last column. The normal distribution is a series.
+    """
+    inner = lambda c, size: f"[[list_inner_product({c}[i], {c}[j]) for j in range(1, {size} + 1)] for i in range(1, {size} + 1)]"
+    lag = lambda k, first: f"[x[t - {k} + 1] - x[t - {k}] for t in range({first}, 100)]"
+    level, y, ones = (lambda first: f"[x[t] - list_avg(x) for t in range({first}, 100)]"), (lambda first: f"[x[t + 1] - x[t] for t in range({first}, 100)]"), (lambda first: f"[1.0::DOUBLE for t in range({first}, 100)]")
+    less = lambda size: f"[[a[i][j] - a[i][k] * a[k][j] / a[k][k] for j in range(1, {size} + 1)] for i in range(1, {size} + 1)]"
+    polynomial = lambda *p: " + ".join(f"({v!r}) * tau ** {i}" for i, v in enumerate(p))
+    term = "[exp(i * ln(2 * u * u) + ln(u) - list_sum([ln(2 * m + 1) for m in range(1, i + 1)])) for i in range(1, 121)]"
+    erf = f"CASE WHEN u = 0 THEN 0 ELSE 2 / sqrt(pi()) * exp(-u * u) * (u + list_sum({term})) END"
+    return f"""WITH RECURSIVE {BARS}, {BASE},
+    w AS MATERIALIZED (SELECT series_id, seq, CASE WHEN count(r) OVER w100 = 100 THEN list(r) OVER w100 END AS x FROM b {windows(100)}),
+    c AS (SELECT series_id, seq, [{ones(13)}, {level(13)}, {', '.join(lag(k, 13) for k in range(1, 13))}, {y(13)}] AS c FROM w WHERE x IS NOT NULL),
+    e(series_id, seq, k, a) AS (SELECT series_id, seq, 1, {inner('c', 15)} FROM c UNION ALL SELECT series_id, seq, k + 1, {less(15)} FROM e WHERE k <= 14),
+    m AS MATERIALIZED (SELECT series_id, seq, arg_min(k - 3, 87 * ln(a[15][15] / 87) + 2 * (k - 1)) AS m FROM e WHERE k >= 3 GROUP BY ALL),
+    c2 AS (SELECT series_id, seq, m, list_concat([{ones('m + 1')}], list_concat([[x[t - k + 1] - x[t - k] for t in range(m + 1, 100)] for k in range(1, m + 1)], [{level('m + 1')}, {y('m + 1')}])) AS c FROM w JOIN m USING (series_id, seq)),
+    e2(series_id, seq, m, k, a) AS (SELECT series_id, seq, m, 1, {inner('c', '(m + 3)')} FROM c2 UNION ALL SELECT series_id, seq, m, k + 1, {less('(m + 3)')} FROM e2 WHERE k <= m + 1),
+    f AS (SELECT series_id, seq, a[m + 2][m + 3] / a[m + 2][m + 2] / sqrt((a[m + 3][m + 3] - a[m + 2][m + 3] ** 2 / a[m + 2][m + 2]) / (99 - m - (m + 2)) / a[m + 2][m + 2]) AS tau FROM e2 WHERE k = m + 2),
+    z AS (SELECT *, (CASE WHEN tau <= -1.61 THEN {polynomial(2.1659, 1.4412, 0.038269)} ELSE {polynomial(1.7339, 0.93202, -0.12745, -0.010368)} END) / sqrt(2.0) AS v FROM f),
+    p AS (SELECT series_id, seq, tau, v, least(abs(v), 6.0) AS u FROM z)
+    SELECT w.series_id, w.seq, (round(CASE WHEN tau > 2.74 THEN 1 WHEN tau < -18.83 THEN 0 ELSE 0.5 * (1 + sign(v) * ({erf})) END, 6) + 0.0)::DOUBLE AS adf_pvalue_100
+    FROM w LEFT JOIN p ON p.series_id = w.series_id AND p.seq = w.seq"""
+
+
 def volume(bars: str = BARS) -> str:
     pre = f"""u0 AS (SELECT *, CASE WHEN tp > lag(tp) OVER o THEN tp * volume ELSE 0 END AS pos, CASE WHEN tp < lag(tp) OVER o THEN tp * volume ELSE 0 END AS neg,
       coalesce(sign(close - pc), 0) * volume AS ob, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS ad, {mean('volume', 20)} AS v20,
