@@ -23,11 +23,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(n, digits) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
-def family(name: str, series: str | None = None) -> Query:
+def family(name: str, series: str | None = None, **how) -> Query:
     wanted = [n for n in FEATURES[name] if n != "adf_pvalue_100"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(features(bars_of(spark, sf_dir, series), wanted).select("series_id", "seq", *wanted))
+        return rounded(features(bars_of(spark, sf_dir, series), wanted, **how).select("series_id", "seq", *wanted))
 
     return run
 
@@ -52,8 +52,19 @@ def vol_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features(bars_of(spark, sf_dir), ["vol_percentile"], percentile_window=500).select("series_id", "seq", "vol_percentile"))
 
 
+def vol_percentile_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in tasks of 1,024 bars."""
+    return rounded(features(bars_of(spark, sf_dir), ["vol_percentile"], percentile_window=500, task_rows=1024).select("series_id", "seq", "vol_percentile"))
+
+
+#: Families whose features carry something into a stretch, as queries in tasks of 1,024 bars too.
+CARRYING = ("price", "volume", "trend")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"features_{name}": family(name) for name in FEATURES}
+    out |= {f"features_{name}_in_stretches": family(name, task_rows=1024) for name in CARRYING}
+    out["feature_vol_percentile_in_stretches"] = vol_percentile_in_stretches
     out["features_volume_by_series"] = family("volume", "event_type")
     out["feature_adf_pvalue"] = adf
     out |= {"feature_variants": variants, "features_of_constant_bars": constant_bars, "feature_vol_percentile": vol_percentile}
@@ -63,6 +74,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {f"features_{name}": getattr(oracle, name)() for name in FEATURES}
     out["features_volume_by_series"] = oracle.volume(oracle.SERIES_BARS)
+    out |= {f"features_{name}_in_stretches": getattr(oracle, name)() for name in CARRYING}
+    out["feature_vol_percentile_in_stretches"] = oracle.vol_percentile(500)
     out["feature_adf_pvalue"] = oracle.adf()
     out |= {"feature_variants": oracle.variants(), "features_of_constant_bars": oracle.constant_bars(), "feature_vol_percentile": oracle.vol_percentile(500)}
     return out

@@ -103,7 +103,7 @@ def query(ctes: list[str], columns: dict[str, str], source: str, sizes: tuple[in
     return f"WITH RECURSIVE {', '.join([bars, BASE, *ctes])}, f AS (SELECT series_id, seq, {inner} FROM {source} {windows(*sizes)}) SELECT series_id, seq, {outer} FROM f"
 
 
-def price() -> str:
+def price(digits: int = 6) -> str:
     span = "nullif(high - low, 0)"
     runs = "seq - max(CASE WHEN {} THEN NULL ELSE seq END) OVER u"
     columns = {
@@ -125,10 +125,10 @@ def price() -> str:
         "lower_low": "CASE WHEN count(low) OVER before5 = 5 AND low < min(low) OVER before5 THEN 1 ELSE 0 END",
         "swing_strength": "abs(close - last_value(CASE WHEN low < pl AND low < nl THEN low WHEN high > ph AND high > nh THEN high END IGNORE NULLS) OVER u) / nullif(tr14, 0)",
     }
-    return query([SCANS], columns, "k", (14, 20), {"higher_high", "lower_low"})
+    return query([SCANS], columns, "k", (14, 20), {"higher_high", "lower_low"}, digits=digits)
 
 
-def volatility() -> str:
+def volatility(digits: int = 6) -> str:
     l2 = math.log(2)
     hl, co, ho, lo = "ln(high / low)", "ln(close / open)", "ln(high / open)", "ln(low / open)"
     pre = f"v0 AS (SELECT *, {hl} * {hl} AS pk, 0.5 * {hl} * {hl} - {2 * l2 - 1!r} * {co} * {co} AS gk, ln(open / pc) ** 2 + {ho} * ({ho} - {co}) + {lo} * ({lo} - {co}) AS yz, {sd('lr', 10)} * {YEAR!r} AS rv10 FROM k {windows(10)})"
@@ -152,10 +152,10 @@ def volatility() -> str:
         "vol_breakout": "CASE WHEN atr14 > 2 * atr50 THEN 1 ELSE 0 END",
         "vol_contraction": "CASE WHEN atr14 <= 0.5 * atr50 THEN 1 ELSE 0 END",
     }
-    return query([SCANS, pre], columns, "v0", (20, 30, 60, 100), {"vol_breakout", "vol_contraction"})
+    return query([SCANS, pre], columns, "v0", (20, 30, 60, 100), {"vol_breakout", "vol_contraction"}, digits=digits)
 
 
-def momentum() -> str:
+def momentum(digits: int = 6) -> str:
     span = "(max(high) OVER w14 - min(low) OVER w14)"
     gate = "count(high) OVER w14 = 14"
     pre = f"""m0 AS (SELECT *, CASE WHEN {gate} THEN CASE WHEN {span} = 0 THEN 0 ELSE 100 * (close - min(low) OVER w14) / {span} END END AS fk,
@@ -182,10 +182,10 @@ def momentum() -> str:
         "di_minus": "dim",
         "dx_cross": "(dip - dim) / nullif(dip + dim, 0)",
     }
-    return query([SCANS, SECOND_SCANS, pre], columns, "m1", (3,), {"rsi_divergence"})
+    return query([SCANS, SECOND_SCANS, pre], columns, "m1", (3,), {"rsi_divergence"}, digits=digits)
 
 
-def trend() -> str:
+def trend(digits: int = 6) -> str:
     middle = lambda n: f"CASE WHEN seq >= {n - 1} THEN (max(high) OVER w{n} + min(low) OVER w{n}) / 2 END"
     fit = lambda n: f"CASE WHEN seq >= {n - 1} THEN regr_intercept(close, seq) OVER w{n} + regr_slope(close, seq) OVER w{n} * seq END"
     pre = f"""t0 AS (SELECT *, {fit(20)} AS f20, {fit(50)} AS f50, {middle(9)} AS m9, {middle(26)} AS m26, {middle(52)} AS m52,
@@ -208,10 +208,10 @@ def trend() -> str:
         "vortex_plus": vortex("vp"),
         "vortex_minus": vortex("vm"),
     }
-    return query([SCANS, pre], columns, "t1", (14, 20, 50))
+    return query([SCANS, pre], columns, "t1", (14, 20, 50), digits=digits)
 
 
-def statistical() -> str:
+def statistical(digits: int = 6) -> str:
     """Without the Dickey-Fuller test, which has a query of its own."""
     lags = range(2, 20)
     x = [math.log(k) for k in lags]
@@ -241,7 +241,7 @@ def statistical() -> str:
         "rolling_median_dev": f"CASE WHEN {n60} THEN mad(r) OVER w60 END",
         "quantile_range": f"CASE WHEN {n60} THEN quantile_cont(r, 0.75) OVER w60 - quantile_cont(r, 0.25) OVER w60 END",
     }
-    return query([pre], columns, "q0", (30, 40, 45, 49, 50, 60, 100, *(100 - k for k in lags)))
+    return query([pre], columns, "q0", (30, 40, 45, 49, 50, 60, 100, *(100 - k for k in lags)), digits=digits)
 
 
 def adf() -> str:
@@ -271,7 +271,7 @@ def adf() -> str:
     FROM w LEFT JOIN p ON p.series_id = w.series_id AND p.seq = w.seq"""
 
 
-def volume(bars: str = BARS) -> str:
+def volume(bars: str = BARS, digits: int = 6) -> str:
     pre = f"""u0 AS (SELECT *, CASE WHEN tp > lag(tp) OVER o THEN tp * volume ELSE 0 END AS pos, CASE WHEN tp < lag(tp) OVER o THEN tp * volume ELSE 0 END AS neg,
       coalesce(sign(close - pc), 0) * volume AS ob, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS ad, {mean('volume', 20)} AS v20,
       sum(tp * volume) OVER u / nullif(sum(volume) OVER u, 0) AS vwap, {mean('tr', 14)} AS tr14 FROM b {windows(14, 20)})"""
@@ -285,10 +285,10 @@ def volume(bars: str = BARS) -> str:
         "volume_price_corr": full("corr(volume, abs(r))", "r", 20),
         "accumulation_dist": "CASE WHEN seq >= 20 THEN sum(ad) OVER w20 / 20 END",
     }
-    return query([pre], columns, "u0", (14, 20, 50), bars=bars)
+    return query([pre], columns, "u0", (14, 20, 50), bars=bars, digits=digits)
 
 
-def session() -> str:
+def session(digits: int = 6) -> str:
     h, m, d = "hour(ts)", "minute(ts)", "(isodow(ts) - 1)"
     now = f"({h} * 60 + {m})"
     columns = {
@@ -305,7 +305,7 @@ def session() -> str:
         "minutes_into_session": f"(CASE WHEN {h} < 8 THEN {now} WHEN {h} < 16 THEN {now} - 420 WHEN {h} < 21 THEN {now} - 720 END)::DOUBLE",
         "minutes_to_close": f"(CASE WHEN {h} < 8 THEN 480 - {now} WHEN {h} < 16 THEN 960 - {now} WHEN {h} < 21 THEN 1260 - {now} END)::DOUBLE",
     }
-    return query([], columns, "b", (), {c for c in columns if c.startswith("is_")})
+    return query([], columns, "b", (), {c for c in columns if c.startswith("is_")}, digits=digits)
 
 
 def variants() -> str:
@@ -336,3 +336,10 @@ def vol_percentile(window: int) -> str:
     pre = f"vp AS (SELECT *, {size} AS held FROM k {windows(window)})"
     below, same = "len(list_filter(held, lambda x: x < atr14))", "len(list_filter(held, lambda x: x = atr14))"
     return query([SCANS, pre], {"vol_percentile": f"({below} + ({same} + 1) / 2.0) / {window}"}, "vp", ())
+
+
+def all_features(left_out: tuple[str, ...]) -> str:
+    """SELECT of the bars and of all features but those that are left out, as good as unrounded."""
+    families = {f: globals()[f](digits=13) for f in ("price", "volatility", "momentum", "trend", "statistical", "volume", "session")}
+    joined = " ".join(f"JOIN ({sql}) {f} USING (series_id, seq)" for f, sql in families.items())
+    return f"SELECT * EXCLUDE ({', '.join(left_out)}) FROM (WITH {BARS} SELECT * EXCLUDE (volume), volume AS volume FROM bars) b {joined}"

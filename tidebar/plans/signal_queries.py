@@ -10,10 +10,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import keep
 from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import prepare as P
-from ..operators.features import features
+from ..operators.features import ALL, features
 from ..sources.bars import order_line_bars, tick_bars, time_bars
 from . import oracle
 from .bar_queries import Query, bars_of, rounded
@@ -75,6 +76,26 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.scale(df, P.fit_scaler(df.where("part = 'train'"), names), names).select("seq", *names))
 
 
+#: Not in the queries over all features: what is empty without 362,880 bars, and p-values that are far below what is compared.
+LEFT_OUT = ("vol_percentile", "adf_pvalue_100")
+SCALED = sorted(n for n in ALL if n not in LEFT_OUT)
+
+
+def _all_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    df, names = P.clean(keep(features(bars_of(spark, sf_dir), [n for n in ALL if n != "adf_pvalue_100"])))
+    return P.time_split(df), names
+
+
+def scaler_params_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _all_split(spark, sf_dir)
+    return rounded(P.fit_scaler(df.where("part = 'train'"), names), 7)
+
+
+def scaled_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _all_split(spark, sf_dir)
+    return rounded(P.scale(df, P.fit_scaler(df.where("part = 'train'"), names), names).select("seq", "part", *[F.col(n).cast("double").alias(n) for n in names]), 4)
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bars_of(spark, sf_dir).withColumn("y", F.col("seq") % 3)
     got = P.sequences(df, ["open", "close"], 60, 1, "y")
@@ -146,7 +167,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         time_bars_hourly, tick_bars_by_series, bars_of_order_lines, labels_triple_barrier, labels_fixed_horizon, label_counts, class_weights, cleaned, time_split,
-        scaler_params, scaled, sequences, sequences_every_bar, time_folds, signals, signal_table, filtered_trades, meta_inputs, threshold_sweep, best_thresholds, roc_auc, report, walk_forward_windows,
+        scaler_params, scaled, scaler_params_all_features, scaled_all_features, sequences, sequences_every_bar, time_folds, signals, signal_table, filtered_trades, meta_inputs, threshold_sweep, best_thresholds, roc_auc, report, walk_forward_windows,
     )
 }
 
@@ -168,6 +189,12 @@ def oracle_sql() -> dict[str, str]:
     r = lambda x, n, d=6: f"(round({x}, {d}) + 0.0)::DOUBLE AS {n}"
     scaled_names = names[:-1]
     params = " UNION ALL ".join(f"SELECT '{n}' AS feature, quantile_cont({n}, 0.5) AS median, CASE WHEN quantile_cont({n}, 0.75) = quantile_cont({n}, 0.25) THEN 1 ELSE quantile_cont({n}, 0.75) - quantile_cont({n}, 0.25) END AS iqr FROM sp WHERE part = 'train'" for n in scaled_names)
+    every = f"""WITH ft AS ({oracle.all_features(("vol_percentile",))}), cl AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, {', '.join(f'coalesce({n}, 0)::DOUBLE AS {n}' for n in SCALED)} FROM ft WHERE {' AND '.join(f'{n} IS NOT NULL' for n in CORE_NAMES)}),
+    sp AS MATERIALIZED (SELECT *, CASE WHEN seq < floor((SELECT count(*) FROM cl) * 0.7::DOUBLE) THEN 'train' WHEN seq < floor((SELECT count(*) FROM cl) * 0.7::DOUBLE) + floor((SELECT count(*) FROM cl) * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS part FROM cl),
+    qs AS MATERIALIZED (SELECT {', '.join(f'quantile_cont({n}, [0.25, 0.5, 0.75]) AS {n}' for n in SCALED)} FROM sp WHERE part = 'train')"""
+    spread = lambda x: f"CASE WHEN {x}[3] = {x}[1] THEN 1 ELSE {x}[3] - {x}[1] END"
+    each = [f"SELECT '{n}' AS feature, {r(f'{n}[2]', 'median', 7)}, {r(spread(n), 'iqr', 7)} FROM qs" for n in SCALED]
+    scaled_every = [r(f"(sp.{n} - qs.{n}[2]) / ({spread(f'qs.{n}')})", n, 4) for n in SCALED]
     predicted = f"""WITH {fixed}, p0 AS (SELECT *, label_primary + 1 AS y, ((seq * 31 + seq // 7) % 3)::INTEGER AS pred, ((seq * 7919) % 1000) / 1000.0::DOUBLE AS meta_prob,
       (seq * 13 % 50 + 1) / 100.0::DOUBLE AS p_short, (seq * 29 % 40 + 1) / 100.0::DOUBLE AS p_long FROM fl),
     p1 AS (SELECT *, 1 - p_short - p_long AS p_flat, CASE WHEN pred = y THEN 1 ELSE 0 END AS y_meta, CASE WHEN pred <> 1 AND meta_prob >= 0.55 THEN pred ELSE 1 END AS signal FROM p0),
@@ -199,6 +226,8 @@ def oracle_sql() -> dict[str, str]:
         "time_split": f"{clean} SELECT part, count(*) AS n, {bounds} FROM sp GROUP BY part",
         "scaler_params": f"{clean}, pr AS ({params}) SELECT feature, {r('median', 'median')}, {r('iqr', 'iqr')} FROM pr",
         "scaled": f"{clean}, pr AS ({params}) SELECT seq, {', '.join(r(f'''({n} - (SELECT median FROM pr WHERE feature = '{n}')) / (SELECT iqr FROM pr WHERE feature = '{n}')''', n) for n in scaled_names)} FROM cl",
+        "scaler_params_all_features": f"{every} {' UNION ALL '.join(each)}",
+        "scaled_all_features": f"{every} SELECT seq, part, {', '.join(scaled_every)} FROM sp, qs",
         "sequences": f"""WITH {oracle.BARS}, q AS (SELECT seq, seq % 3 AS y, count(*) OVER w AS n, first_value(open) OVER w AS a, close AS b, sum(close::FLOAT::DOUBLE) OVER w AS c FROM bars WINDOW w AS (ORDER BY seq ROWS 59 PRECEDING))
           SELECT seq, y, n, {r('a::FLOAT::DOUBLE', 'first_open', 3)}, {r('b::FLOAT::DOUBLE', 'last_close', 3)}, {r('c', 'closes', 3)} FROM q WHERE seq >= 59""",
         "time_folds": f"""WITH {oracle.BARS}, f AS (SELECT seq, k::INTEGER AS fold, {n_bars} - (6 - k) * ({n_bars} // 6) AS st, {n_bars} // 6 AS size FROM bars, range(1, 6) t(k))

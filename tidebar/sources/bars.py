@@ -105,5 +105,8 @@ def order_line_bars(lineitem: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", if_exists: str = "overwrite") -> None:
-    """Sink for feature, history, sweep, report, signal and walk-forward tables; if_exists="ignore" skips what is there."""
-    df.write.mode(if_exists).option("header", True).format(fmt).save(path)
+    """Sink for feature, history, sweep, report, signal and walk-forward tables; if_exists="ignore" skips what is there.
+
+    Times in text formats have microseconds, so they read back as they were.
+    """
+    df.write.mode(if_exists).option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").format(fmt).save(path)
