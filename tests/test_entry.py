@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-PROBED = ["features_volume", "features_session", "labels_fixed_horizon", "threshold_sweep", "report", "walk_forward_windows", "time_folds", "sequences"]
+PROBED = ["features_volume", "features_session", "labels_fixed_horizon", "threshold_sweep", "report", "walk_forward_windows", "time_folds", "sequences", "bars_from_csv", "one_split", "feature_adf_pvalue"]
 
 
 def test_names_match():

@@ -175,7 +175,7 @@ def test_windows_tell_what_one_bar_does_not(spark):
     parts = S.with_folds(0.7, 0.15, 0)
     df = table(spark, 1200)
     losses = {}
-    for length, epochs in ((6, 30), (1, 6)):
+    for length, epochs in ((6, 26), (1, 5)):
         how = S.Training(epochs=epochs, patience=epochs, rate=0.04, least_rate=0.005, period=epochs)
         shape = Shape(3, length, 16, 2, 1, 16, 0.0)
         fitted = S.fit(S.blocks(df, ["a", "b", "c"], length=length, rows=128), ["a", "b", "c"], shape, parts, how)

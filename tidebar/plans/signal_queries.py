@@ -54,7 +54,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = features(bars_of(spark, sf_dir), [*CORE_NAMES, "price_vs_ema50", "vol_percentile", "rsi_7"]).persist()  # read by several jobs
+    table = keep(features(bars_of(spark, sf_dir), [*CORE_NAMES, "price_vs_ema50", "vol_percentile", "rsi_7"]))  # read by several jobs
     return P.clean(table)[0]
 
 
@@ -105,7 +105,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences_every_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window of all scaled features for each bar that has 60, with the class of its last bar; no SQL."""
-    df, names = P.clean(features(bars_of(spark, sf_dir)).persist())  # read by several jobs
+    df, names = P.clean(keep(features(bars_of(spark, sf_dir))))  # read by several jobs
     df = P.time_split(df.withColumn("y", F.col("seq") % 3))
     df = P.scale(df, P.fit_scaler(df.where("part = 'train'"), names), names)
     return P.sequences(df, names, 60, 1, "y")

@@ -109,4 +109,5 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", if_exists: str =
 
     Times in text formats have microseconds, so they read back as they were.
     """
-    df.write.mode(if_exists).option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").format(fmt).save(path)
+    times = {name: "yyyy-MM-dd HH:mm:ss.SSSSSS" for name in ("timestampFormat", "timestampNTZFormat")}
+    df.write.mode(if_exists).options(header=True, **times).format(fmt).save(path)
