@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, WordHashes, grams, in_batches, keep, mix, partitions, raw_texts, small, sum_blobs
+from .common import BROADCAST_ROWS, Scratch, WordHashes, grams, in_batches, keep, mix, partitions, raw_texts, sum_blobs
 from .components import components
 from .substring_dedup import _rows, by_batch, split_by_top_bits
 
@@ -510,4 +510,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "bid", "row")
         first = whole.groupBy("root").agg(F.min(order).alias("x")).select("root", F.col("x.bid").alias("b"), F.col("x.row").alias("r"))
         gone = keep(whole.join(first, "root").where("bid != b or row != r").select("bid", "row"))
-    return named.join(small(gone), ["bid", "row"], "left_anti").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # by a merge at every size: the list of rows grows with the table, so texts are shuffled to it
+    return named.join(gone.hint("merge"), ["bid", "row"], "left_anti").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

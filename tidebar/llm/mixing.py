@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, keep, small
+from .common import in_batches, keep
 
 #: Documents that meet in one node of the reduction tree.
 FAN = 32
@@ -202,5 +202,5 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     named = in_batches(docs, {"_source": "source", **{f"_{i}": c for i, c in enumerate(docs.columns)}})
     slim = named.select("doc_id", F.col("_source").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), F.struct("bid", "row").alias("ref"))
     copies = keep(decide_copies(keep(slim), weights, share, most, seed).where("copies > 0").select("ref.bid", "ref.row", "copies"))
-    taken = named.join(small(copies), ["bid", "row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = named.join(copies.hint("merge"), ["bid", "row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
