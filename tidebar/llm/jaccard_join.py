@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, WordHashes, grams, in_batches, keep, mix, partitions, raw_texts, sum_blobs
+from .common import BROADCAST_ROWS, Scratch, WordHashes, frugal, grams, in_batches, keep, mix, partitions, raw_texts, sum_blobs
 from .components import components
 from .substring_dedup import _rows, by_batch, split_by_top_bits
 
@@ -379,7 +379,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    return docs.select("bid", "row", "text").join(wanted, ["bid", "row"]).select("node", "text").mapInArrow(run, "node binary, n long, wide binary, items binary")
+    return docs.select("bid", "row", "text").join(wanted, ["bid", "row"]).select("node", "text").mapInArrow(frugal(run), "node binary, n long, wide binary, items binary")
 
 
 def _with_root(df: DataFrame, node: str, root: str, joined: DataFrame) -> DataFrame:
@@ -412,10 +412,10 @@ def _rooted(docs: DataFrame, shingle: int, percent: int, t: Scratch) -> DataFram
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bits = max(6, (8 * partitions(docs.sparkSession) - 1).bit_length())
-    made = t.keep(docs.mapInArrow(_nodes(shingle), NODE))
+    made = t.keep(docs.mapInArrow(frugal(_nodes(shingle)), NODE))
     levels = cost_levels(sum_blobs(made.where("counts is not null").select("counts"), CELLS))
     nodes = made.where("bid is not null").drop("counts")
-    tokens = docs.select("text", "bid").mapInArrow(_give_out(shingle, levels, percent, bits), TOKENS)
+    tokens = docs.select("text", "bid").mapInArrow(frugal(_give_out(shingle, levels, percent, bits)), TOKENS)
     found = t.keep(tokens.groupBy("bucket").applyInArrow(_group, GROUPS))
     whole = t.keep(found.where(F.size("nodes") > 1).groupBy("gid").agg(F.first("nodes").alias("nodes")))
     common = found.where(F.size("nodes") == 1).select("gid", F.col("nodes")[0].alias("node")).distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, keep, only, raw_texts, sum_blobs
+from .common import WordHashes, frugal, grams, keep, only, raw_texts, sum_blobs
 
 STATS = ("log_words", "word_len", "word_len_sd", "distinct", "top_word", "repeats_next", "dup_lines", "line_words", "dup_grams", "upper", "lower", "digit", "mark", "symbol", "bang", "high", "capital_words")
 CLASSES = np.full(256, 5, dtype=np.uint8)  # other ASCII marks
@@ -201,4 +201,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: flo
                 stats = np.array([statistics(t, hashes) for t in raw_texts(batch.column(place))])
                 yield batch.filter(pa.array(model.score(stats) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
