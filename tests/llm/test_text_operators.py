@@ -10,9 +10,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidebar.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts
+from tidebar.llm.common import in_batches
 from tidebar.llm.queries import RANKS, TOKENIZER
 
 from .conftest import corpus
@@ -518,3 +520,18 @@ def test_token_counts(docs, no_docs):
             known[w] = best_count(b" " + w.encode(), vocabulary)
         assert got[(doc, len(words(text)))] == sum(known[w] for w in words(text))
     assert token_counts.count_tokens(no_docs, RANKS).count() == 0
+
+
+def test_other_formats_than_parquet(spark, docs, tmp_path):
+    """Files that don't number their rows: the same rows as from a table that is written first."""
+    schema = "doc_id long, text string, source string"
+    plain = docs.select("doc_id", F.trim(F.regexp_replace("text", r"[\s\"]+", " ")).alias("text"), "source").where("text is not null and source is not null and length(text) > 1")
+    want = sorted(map(repr, mixing.mix_sources(plain).collect()))
+    for fmt in ("csv", "json", "orc"):
+        path = f"file://{tmp_path}/{fmt}"
+        plain.write.option("header", True).format(fmt).save(path)
+        read = spark.read.schema(schema).option("header", True).format(fmt).load(path)
+        named = in_batches(read)
+        assert named.count() == plain.count() == named.select("bid", "row").distinct().count()
+        if fmt == "csv":
+            assert sorted(map(repr, mixing.mix_sources(read).collect())) == want

@@ -15,6 +15,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,13 +180,24 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _numbers_its_rows(docs: DataFrame) -> bool:
+    """Whether a table is a plain scan of files whose format tells the number of a row in its file."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in docs.columns:
+        return False
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def in_batches(docs: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
     """doc_id, text, bid (of a batch of rows), row (of the row in its batch's file), and more columns: {new name: name}.
 
-    Tables that are anything but a plain scan of files are written first, so that file and row number name a row.
+    Tables that are anything but a plain scan of Parquet files are written first, so that file and row number name a row.
     """
     wanted = [F.col("doc_id"), F.col("text"), *(F.col(f"`{c}`").alias(n) for n, c in (more or {}).items())]
-    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
+    if _numbers_its_rows(docs):
         docs = docs.select(*wanted, F.col("_metadata").alias("_where"))
     else:
         docs = keep(docs.select(*wanted))
