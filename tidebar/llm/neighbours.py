@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
+#: Rows of a part, on average, beyond which there are more parts.
+ROWS_OF_A_PART = 250_000
 #: Rows, and queries, of a block at about the most.
 BLOCK = 16_384
 FOUND = "query_id long, vec_id long, score double"
@@ -139,8 +141,8 @@ def learn(sample: np.ndarray, parts: int, k: int, recall: float, seed: int = 11)
     """
     rng = np.random.default_rng(seed)
     x = np.unique(sample, axis=0)
-    parts = 2 ** int(math.log2(max(1, min(parts, len(x) // 4))))
-    if parts == 1:
+    parts = 2 ** int(math.log2(max(1, min(parts, max(2, len(x) // 4)))))
+    if len(x) < 8 or parts == 1:
         d = sample.shape[1]
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     order = rng.permutation(len(x))
@@ -227,12 +229,16 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.95
     Returns query_id, rank (from 1), vec_id, score (cosine in double precision), nearest first, ties to the smaller
     vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
     vec_id and vectors of another length than most of the sample have. Rows with the same vec_id are one candidate,
-    by its best score. The sample is the rows with the least hashes, `most_sample` at the most; `parts` are made at
-    every size of the table (fewer only where the sample has fewer than four distinct vectors for each). Other columns
-    are ignored; an empty table gives no rows.
+    by its best score. The sample is the rows with the least hashes, `most_sample` at the most. There are `parts` parts, or
+    as many more (a power of two) as it takes for ROWS_OF_A_PART rows each, but one for every four distinct vectors of
+    the sample at the most. Other columns are ignored; an empty table gives no rows.
     """
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_sample).collect()  # bounded by most_sample
+    n = rows.count()
+    parts = max(parts, 2 ** math.ceil(math.log2(max(1, n / ROWS_OF_A_PART))))
+    share = min(1.0, 1.25 * most_sample / max(1, n))  # of all hashes; few rows beyond the sample pass, on any number of partitions
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = drawn.orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)), "vec_id").limit(most_sample).collect()  # bounded by most_sample
     sizes = [len(r["embedding"]) for r in sample]
     dims = max(sorted(set(sizes)), key=sizes.count) if sizes else 1
     x = np.array([r["embedding"] for r in sample if len(r["embedding"]) == dims]).reshape(-1, dims)
