@@ -154,8 +154,6 @@ def test_shards_match_the_mixture(spark):
 
 
 def test_sharding_needs_no_python(spark, docs):
-    from tidebar.llm.common import in_batches  # noqa: F401
-
     plans = []
     sharding_keep, sharding.keep = sharding.keep, lambda df: plans.append(df._jdf.queryExecution().toString()) or keep(df)
     try:
