@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm import jaccard_join, mixing, packing, quality_classifier, secrets
-from tidebar.llm.common import keep, table, workers_find_us
+from tidebar.llm.common import forget, keep, table, workers_find_us
 from tidebar.llm.queries import TOKENIZER
 
 
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir))
+        before, docs = docs, keep(stage(spark, docs, sf_dir))
+        forget(before)  # nothing but the last stage's rows stays
     return docs
