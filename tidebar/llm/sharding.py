@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, keep
 
 #: Rows of a bucket, on average.
-BUCKET = 4096
+BUCKET = 1024
 #: Copies of a row that one task writes out.
 LOT = 1024
 #: Buckets whose counts are summed up in one go.
