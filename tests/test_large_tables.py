@@ -19,6 +19,11 @@ def long_windows_filled(monkeypatch):
         monkeypatch.setattr(module, "features", functools.partial(features, percentile_window=50))
 
 
+def test_volatility_is_that_of_its_sql_when_the_long_window_is_filled(spark, long_windows_filled):
+    got = bar_queries.queries()["features_volatility"](spark, SMALL)
+    assert got.count() == 200 and got.where("vol_percentile is not null").count() == 0 and got.where("vol_zscore is not null").count() > 0
+
+
 @pytest.mark.parametrize("query", ["cleaned"])
 def test_cleaned_columns_are_those_of_the_sql_when_the_long_window_is_filled(spark, long_windows_filled, query):
     got = signal_queries.QUERIES[query](spark, SMALL)
