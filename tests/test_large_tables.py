@@ -24,7 +24,7 @@ def test_volatility_is_that_of_its_sql_when_the_long_window_is_filled(spark, lon
     assert got.count() == 200 and got.where("vol_percentile is not null").count() == 0 and got.where("vol_zscore is not null").count() > 0
 
 
-@pytest.mark.parametrize("query", ["cleaned"])
+@pytest.mark.parametrize("query", ["cleaned", "scaled_all_features"])
 def test_cleaned_columns_are_those_of_the_sql_when_the_long_window_is_filled(spark, long_windows_filled, query):
     got = signal_queries.QUERIES[query](spark, SMALL)
     left_out = {"vol_percentile", "empty"}
