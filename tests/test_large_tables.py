@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pytest
 
+from tidebar.operators import attention
+
 from tidebar.operators.features import features
 from tidebar.plans import bar_queries, signal_queries
 
@@ -29,3 +32,19 @@ def test_cleaned_columns_are_those_of_the_sql_when_the_long_window_is_filled(spa
     got = signal_queries.QUERIES[query](spark, SMALL)
     left_out = {"vol_percentile", "empty"}
     assert not left_out & set(got.columns) and got.count() == 186 and {"rsi_7", "atr_14"} <= set(got.columns)
+
+
+@pytest.mark.parametrize("layers", [1, 2])
+def test_last_block_is_worked_out_for_the_token_alone(monkeypatch, layers):
+    """The gradient is still that of the loss, with dropout as it was drawn."""
+    shape, rng, places = attention.Shape(3, 5, 4, 2, layers, 6, 0.2), np.random.default_rng(1), []
+    x, y, weights, bend = rng.normal(size=(7, 5, 3)), np.arange(7) % 3, np.array([1.0, 2.0, 0.5]), attention._Pass.bend
+    monkeypatch.setattr(attention._Pass, "bend", lambda self, v: (places.append(v.shape[1:-1]), bend(self, v))[1])
+    vector, grad = shape.start(2), np.zeros(shape.size)
+    attention.loss_and_gradient(shape, vector, x, y, weights, np.random.default_rng(3), grad)
+    assert places == [(6,)] * (layers - 1) + [(1,), ()]
+    loss = lambda v: attention.loss_and_gradient(shape, v, x, y, weights, np.random.default_rng(3))[0]
+    for i in rng.choice(shape.size, 60, replace=False):
+        step = np.zeros(shape.size)
+        step[i] = 1e-6
+        assert abs((loss(vector + step) - loss(vector - step)) / 2e-6 - grad[i]) < 1e-5
