@@ -7,8 +7,8 @@ import functools
 import numpy as np
 import pytest
 
-from tidebar.operators import attention
-
+from tidebar.operators import attention, prepare
+from tidebar.operators import sequence_training as S
 from tidebar.operators.features import features
 from tidebar.plans import bar_queries, signal_queries
 
@@ -48,3 +48,22 @@ def test_last_block_is_worked_out_for_the_token_alone(monkeypatch, layers):
         step = np.zeros(shape.size)
         step[i] = 1e-6
         assert abs((loss(vector + step) - loss(vector - step)) / 2e-6 - grad[i]) < 1e-5
+
+
+def test_rows_of_a_series_are_counted_without_bringing_them_into_one_task(spark, monkeypatch):
+    """As on tables that Spark doesn't take for small: sizes are no reason to broadcast here."""
+    plans = []
+    monkeypatch.setattr(S, "keep", lambda df: (plans.append(df), df)[1])
+    df = spark.createDataFrame([("all", i, float(i), 0) for i in range(100)], "series_id string, seq long, a double, y int")
+    was = {n: spark.conf.get(n, None) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for n in was:
+            spark.conf.set(n, "-1")
+        S.blocks(df, ["a"], length=10)
+        for split in (prepare.time_split(df), prepare.time_folds(df), *plans):
+            plan = split._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r["part"]: r["count"] for r in prepare.time_split(df).groupBy("part").count().collect()} == {"train": 70, "val": 15, "test": 15}
+    finally:
+        for n, v in was.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
