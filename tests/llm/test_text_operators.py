@@ -132,6 +132,16 @@ def test_word_tokenizer_equals_the_tokenizer(texts):
     assert own.ids(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_remembered_once_whatever_mark_is_behind_them(monkeypatch):
+    """Lots of texts of any size give the same ids; a mark is no part of a word of letters that is remembered."""
+    texts = ["Word word, WORD.\nétÉ.", "", "word.. it's word\tword", "東京 word, <|endoftext|>", "x" * 120 + ". x1,", "word, word"] * 3
+    for lot in (1, 30, 4_000_000):
+        monkeypatch.setattr(packing.WordTokenizer, "LOT", lot, raising=False)
+        own = packing.WordTokenizer(TOKENIZER)
+        assert own.ids(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert set(own.words) - {""} == {"word", "été", "word..", "it's", "word\tword", "東京", "word,", "<|endoftext|>", "x1,"}
+
+
 # ---- quality
 
 

@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from .common import keep, only
 
@@ -41,106 +44,129 @@ class Remembered(dict):
             self.clear()
 
 
+def _gather(ids: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that lie behind one another in ids: the wanted runs, behind one another too, and their lengths."""
+    starts, n = np.cumsum(lengths) - lengths, lengths[which]
+    shift = starts[which] - (np.cumsum(n) - n)
+    return ids[np.repeat(shift, n) + np.arange(n.sum())], n
+
+
 class WordTokenizer:
     """ids of whole texts by `tokenizers`, each distinct word encoded once while it is remembered.
 
-    Valid for a tokenizer that lower-cases, whose pre-tokenizer drops white space and never joins what white space
-    separates, and whose words end in ids with the end-of-word suffix. In texts of Latin-1 letters, words with at
-    most one full stop or comma behind them are encoded many at a time; every other stretch between spaces, and
-    every stretch of other texts, is encoded by itself.
+    Valid for a tokenizer that lower-cases, whose pre-tokenizer drops white space, never joins what white space
+    separates and keeps letters together, and whose words end in ids with the end-of-word suffix. In texts of Latin-1
+    letters, words with at most one full stop or comma behind them are encoded many at a time, without the normalizer
+    that their lower case has no use for; every other stretch between spaces, and every stretch of other texts, is
+    encoded by itself. Words are told apart in Arrow, so Python sees each once for a lot of texts.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+    #: Characters of the texts that are worked on at once, but for longer texts.
+    LOT = 4_000_000
+
+    def __init__(self, path: str, limit: int = 450_000):
+        self.tokenizer, self.of_letters = (Tokenizer.from_file(path) for _ in range(2))
+        for t in (self.tokenizer, self.of_letters):
+            t.no_padding()
+            t.no_truncation()
+        self.of_letters.normalizer = None
+        self.of_letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words, self.letters = Remembered(limit), Remembered(3 * limit // 2)
-        self.marks = {m: self._each([m])[0] for m in (".", ",")}
+        self.words = Remembered(limit)
+        self.marks = self._each(["", ".", ","])
 
     def _each(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, plain: set[str], other: set[str]) -> dict[str, bytes]:
-        """ids of words; those of plain are of Latin-1 texts in lower case."""
-        out: dict[str, bytes] = {"": b""}
-        split, missing, marks = [], set(), self.marks
-        old_words, letters, old_letters = self.words.old.get, self.letters, self.letters.old.get
-        for w in plain:
-            known = old_words(w)
-            if known is not None:
-                out[w] = known
-                continue
-            mark = w[-1:]
-            if mark in marks:
-                core = w[:-1]
-            else:
-                core, mark = w, ""
-            if core.isalpha() and len(core) < 100:
-                split.append((w, core, mark))
-                if core not in letters:
-                    known = old_letters(core)
-                    if known is None:
-                        missing.add(core)
-                    else:
-                        letters[core] = known
-            elif w:
-                other.add(w)
-        found = {}
-        parts = list(missing)
-        for i in range(0, len(parts), 1000):
-            part = parts[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """ids of words of Latin-1 letters in lower case."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 200):
+            part = words[i : i + 200]
+            ids = np.array(self.of_letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer doesn't end each word with its suffix")
             raw, at = ids.tobytes(), 0
-            for word, end in zip(part, (cuts * 4).tolist()):
-                found[word] = raw[at:end]
+            for end in cuts.tolist():
+                out.append(raw[at:end])
                 at = end
-        for w, core, mark in split:
-            ids = found.get(core) or letters[core]
-            out[w] = ids + marks[mark] if mark else ids
-        rest = [w for w in other if w not in out]
-        for i in range(0, len(rest), 1000):
-            out.update(zip(rest[i : i + 1000], self._each(rest[i : i + 1000])))
-        self.letters.turn()
-        self.letters.update(found)
         return out
 
+    def _of_words(self, words: list[str], letters: list[bool]) -> list[bytes]:
+        """ids of distinct words, from memory where they are there; letters tells which are Latin-1 letters in lower case."""
+        out = list(map(self.words.get, words))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        old = self.words.old.get
+        again, split, rest = {}, [], []
+        for i in gaps:
+            known = old(words[i])
+            if known is not None:
+                again[words[i]] = out[i] = known
+            else:
+                (split if letters[i] else rest).append(i)
+        for i, ids in zip(split, self._letters([words[i] for i in split])):
+            again[words[i]] = out[i] = ids
+        for k in range(0, len(rest), 1000):
+            for i, ids in zip(rest[k : k + 1000], self._each([words[i] for i in rest[k : k + 1000]])):
+                out[i] = ids
+                if len(words[i]) < 100:  # longer ones are used once, not remembered
+                    again[words[i]] = ids
+        self.words.turn()
+        self.words.update(again)
+        return out
+
+    def _lot(self, texts: list[str], plain: bool) -> list[bytes]:
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], type=pa.large_string()), " ")
+        stretches = split.flatten().dictionary_encode()
+        words = stretches.dictionary
+        if plain:
+            mark = pc.if_else(pc.ends_with(words, "."), 1, pc.if_else(pc.ends_with(words, ","), 2, 0))
+            core = pc.if_else(pc.greater(mark, 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+            letters = pc.and_(pc.utf8_is_alpha(core), pc.less(pc.utf8_length(core), 100))
+            marks = pc.if_else(letters, mark, 0).to_numpy(zero_copy_only=False)
+            words = pc.if_else(letters, core, words).dictionary_encode()
+            which, words = words.indices.to_numpy(), words.dictionary
+            letters = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.utf8_length(words), 100)).to_numpy(zero_copy_only=False)
+        else:
+            marks, which, letters = np.zeros(len(words), np.int64), np.arange(len(words)), np.zeros(len(words), dtype=bool)
+        parts = self.marks + self._of_words(words.to_numpy(zero_copy_only=False).tolist(), letters.tolist())
+        ids, lengths = np.frombuffer(b"".join(parts), dtype="<u4"), np.array([len(x) // 4 for x in parts])
+        # A stretch is a word and its mark; a text is its stretches.
+        ids, n = _gather(ids, lengths, np.stack([which + len(self.marks), marks], axis=1).ravel())
+        ids, n = _gather(ids, n.reshape(-1, 2).sum(axis=1), stretches.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        plain: set[str] = set()
-        other: set[str] = set()
-        rows, open_rows = [], []
-        get = self.words.get
-        for text in texts:
-            new = other
+        out: list[bytes] = [b""] * len(texts)
+        lots: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
+        held = {True: 0, False: 0}
+
+        def work(plain: bool) -> None:
+            if lots[plain]:
+                for (i, _), ids in zip(lots[plain], self._lot([t for _, t in lots[plain]], plain)):
+                    out[i] = ids
+                lots[plain], held[plain] = [], 0
+
+        for i, text in enumerate(texts):
+            plain = False
             if "<|" not in text:  # not to turn anything into a special token
                 try:
                     text.encode("latin-1")
-                    text, new = text.lower(), plain
+                    text, plain = text.lower(), True
                 except UnicodeEncodeError:
                     pass
-            words = text.replace("\n", " ").split(" ")
-            out = list(map(get, words))
-            if None in out:
-                gaps = [i for i, x in enumerate(out) if x is None]
-                new.update([words[i] for i in gaps])
-                open_rows.append((out, words, gaps))
-            rows.append(out)
-        if open_rows:
-            found = self._learn(plain, other)
-            for out, words, gaps in open_rows:
-                for i in gaps:
-                    out[i] = found[words[i]]
-            self.words.turn()
-            for w in [w for w in other if len(w) >= 100]:  # used once, not remembered
-                del found[w]
-            self.words.update(found)
-        return [b"".join(out) for out in rows]
+            if held[plain] + len(text) > self.LOT:
+                work(plain)
+            lots[plain].append((i, text))
+            held[plain] += len(text)
+        work(True)
+        work(False)
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -148,20 +174,20 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 def _pieces(tokenizer_path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
         tok = _tokenizers[tokenizer_path]
         end = np.array([end_id], dtype="<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                rows: list[tuple] = []
-                for doc, raw in zip(batch.column(0).to_pylist(), tok.ids([t or "" for t in batch.column(1).to_pylist()])):
-                    view = memoryview(raw + end)
-                    n = len(view) // 4
-                    for s in range(0, n, size):
-                        part = view[4 * s : 4 * (s + size)]
-                        rows.append((doc, s, len(part) // 4, zlib.crc32(part), n))
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, raw in zip(batch.column(0).to_pylist(), tok.ids([t or "" for t in batch.column(1).to_pylist()])):
+                view = memoryview(raw + end)
+                n = len(view) // 4
+                for s in range(0, n, size):
+                    part = view[4 * s : 4 * (s + size)]
+                    rows.append((doc, s, len(part) // 4, zlib.crc32(part), n))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], schema=PIECE_SCHEMA)
 
     return run
