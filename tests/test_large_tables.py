@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pytest
 
 from tidebar.operators import attention, prepare
 from tidebar.operators import sequence_training as S
-from tidebar.operators.features import features
+from tidebar.operators.features import FEATURES, features
 from tidebar.plans import bar_queries, signal_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -67,3 +68,30 @@ def test_rows_of_a_series_are_counted_without_bringing_them_into_one_task(spark,
     finally:
         for n, v in was.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_trend_goes_through_short_frames_for_each_row(spark):
+    """Frames of n rows cost n steps a row: extremes over 26 and 52 rows are made of shorter ones, fits of one covariance."""
+    rows = [("all", i, None, *((None,) * 4 if i == 70 else (c, c + 1 + i % 7, c - 1 - i % 5, c)), 1.0) for i, c in enumerate([100.0 + (i * i * 7 % 23 if i < 160 else 0) for i in range(240)])]
+    bars = spark.createDataFrame(rows, "series_id string, seq long, ts timestamp, open double, high double, low double, close double, volume double")
+    df = features(bars, FEATURES["trend"])
+    plan = df._jdf.queryExecution().analyzed().toString()
+    frames = [int(n) + 1 for n in re.findall(r"RowFrame, -(\d+), currentrow", plan)]
+    assert frames and sum(n for n in frames if n > 14) <= 800 and "regr_" not in plan
+    got = df.orderBy("seq").collect()
+    high, low, close = ([r[k] for r in rows] for k in (4, 5, 6))
+    for t, r in enumerate(got):
+        if t < 25 or 70 in range(t - 25, t + 1):
+            assert r["aroon_up"] is None and r["aroon_down"] is None
+        else:
+            up, down = (max(range(t - 25, t + 1), key=lambda i: (x[i], i)) for x in (high, [-v if v is not None else None for v in low]))
+            assert (r["aroon_up"], r["aroon_down"]) == (100 * (25 - t + up) / 25, 100 * (25 - t + down) / 25)
+        for n in (20, 50):
+            whole = lambda k: t >= k - 1 and 70 not in range(t - k + 1, t + 1)  # noqa: B023, E731
+            assert (r[f"linear_reg_slope_{n}"] is not None, r[f"linear_reg_r2_{n}"] is not None) == (whole(n), whole(2 * n - 1))
+            if whole(n):
+                assert abs(r[f"linear_reg_slope_{n}"] - np.polyfit(range(n), close[t - n + 1 : t + 1], 1)[0]) < 1e-9
+            if whole(2 * n - 1):
+                ends = [np.polyval(np.polyfit(range(n), close[k - n + 1 : k + 1], 1), n - 1) for k in range(t - n + 1, t + 1)]
+                varied = len(set(close[t - n + 1 : t + 1])) > 1
+                assert abs(r[f"linear_reg_r2_{n}"] - (np.corrcoef(close[t - n + 1 : t + 1], ends)[0, 1] ** 2 if varied else 0)) < 1e-9
