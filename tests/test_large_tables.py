@@ -7,7 +7,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidebar.functions.store import CODEC
 from tidebar.operators import attention, prepare
 from tidebar.operators import sequence_training as S
 from tidebar.operators.features import FEATURES, features
@@ -95,3 +97,38 @@ def test_trend_goes_through_short_frames_for_each_row(spark):
                 ends = [np.polyval(np.polyfit(range(n), close[k - n + 1 : k + 1], 1), n - 1) for k in range(t - n + 1, t + 1)]
                 varied = len(set(close[t - n + 1 : t + 1])) > 1
                 assert abs(r[f"linear_reg_r2_{n}"] - (np.corrcoef(close[t - n + 1 : t + 1], ends)[0, 1] ** 2 if varied else 0)) < 1e-9
+
+
+def test_windows_as_parquet_take_little_more_than_their_bars(spark, tmp_path):
+    """Sixty times the bars otherwise: Spark's own codec looks back 64 KB, less than three windows of 100 features."""
+    n, width = 4000, 100
+    rows = spark.range(n, numPartitions=1).withColumnRenamed("id", "seq").withColumn("series_id", F.lit("all"))
+    df = rows.withColumns({f"f{i}": F.rand(i) for i in range(width)})
+    was = spark.conf.get(CODEC) if CODEC in spark.conf.getAll else None
+    try:
+        spark.conf.unset(CODEC)
+        prepare.sequences(df, [f"f{i}" for i in range(width)]).write.parquet(str(tmp_path / "x"))
+        assert sum(p.stat().st_size for p in (tmp_path / "x").rglob("*.parquet")) < n * width * 4 * 60 / 8
+        spark.conf.set(CODEC, "snappy")  # as the session says
+        prepare.sequences(df, ["f0"])
+        assert spark.conf.get(CODEC) == "snappy"
+    finally:
+        spark.conf.unset(CODEC) if was is None else spark.conf.set(CODEC, was)
+
+
+def test_features_are_made_once_and_numbered_once_for_windows(spark):
+    """The rank of volatility is joined to bars; windows and scaler read the cleaned rows, not all that led to them."""
+    bars = spark.createDataFrame([("all", i, None, *(100.0 + i * i % 23 + d for d in (0, 2, -2, 1)), 1.0) for i in range(200)], "series_id string, seq long, ts timestamp, open double, high double, low double, close double, volume double")
+    assert features(bars)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    ranked = features(bars, ["rsi_7", "entropy_30", "vol_percentile"], percentile_window=50, task_rows=1024)
+    assert ranked.columns == [*bars.columns, "rsi_7", "entropy_30", "vol_percentile"]
+    got = [r["vol_percentile"] for r in ranked.orderBy("seq").collect()]
+    atr = [r["atr_14"] for r in features(bars, ["atr_14"]).orderBy("seq").collect()]
+    for t in range(200):
+        if t < 63:
+            assert got[t] is None
+        else:
+            less, same = (sum(test(x, atr[t]) for x in atr[t - 49 : t + 1]) for test in (float.__lt__, float.__eq__))
+            assert abs(got[t] - (less + (same + 1) / 2) / 50) < 1e-12
+    plan = signal_queries.QUERIES["sequences_every_bar"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window ") == 1
